@@ -26,43 +26,58 @@ def invocations(traces: DataFrame, order: Sequence[str], chunk: Column) -> DataF
     return grouped_rank(traces, ROLLOUT, order, chunk, "inv_idx")
 
 
-def drop_empty(inv: DataFrame, rollouts: DataFrame) -> DataFrame:
+def trace_lengths(traces: DataFrame) -> DataFrame:
+    """Invocations per predictor and rollout. Needs only the key columns of the traces, numbered or not."""
+    return traces.groupBy(*ROLLOUT).agg(F.count(F.lit(1)).alias("_len"))
+
+
+def drop_empty(inv: DataFrame, rollouts: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Drop (predictor, example) unless every rollout of the example invoked the predictor.
 
-    ``rollouts`` lists all rollouts, also those without any entry. A rollout with
-    entries has exactly one row with ``inv_idx = 1``, so no distinct is needed.
+    ``rollouts`` lists all rollouts, also those without any entry. ``lengths``, if given, is
+    ``trace_lengths`` of the unnumbered traces, which saves numbering them twice.
     """
-    reached = inv.where("inv_idx = 1").groupBy(*EXAMPLE).agg(F.count(F.lit(1)).alias("_reached"))
+    lengths = trace_lengths(inv) if lengths is None else lengths
+    reached = lengths.groupBy(*EXAMPLE).agg(F.count(F.lit(1)).alias("_reached"))
     expected = rollouts.groupBy("example_id").agg(F.count(F.lit(1)).alias("_expected"))
     complete = reached.join(expected, "example_id").where("_reached = _expected").select(*EXAMPLE)
     return inv.join(complete, EXAMPLE, "left_semi")
 
 
-def align(inv: DataFrame, mode: str, strategy: str | None = None, seed: int = 0) -> DataFrame:
+def align(
+    inv: DataFrame, mode: str, strategy: str | None = None, seed: int = 0, lengths: DataFrame | None = None
+) -> DataFrame:
     """Give the rollouts of an example equally many invocations.
 
     ``truncate`` cuts to the shortest; ``fill`` extends to the longest, repeating the last
     invocation (``strategy="max"``) or a seeded random own one (``"randint"``);
-    ``ragged`` leaves the lengths as they are.
+    ``ragged`` leaves the lengths as they are. ``lengths`` as in ``drop_empty``.
     """
     if mode == "ragged":
         return inv
-    lengths = inv.groupBy(*ROLLOUT).agg(F.count(F.lit(1)).alias("_len"))
+    lengths = trace_lengths(inv) if lengths is None else lengths
     if mode == "truncate":
         shortest = lengths.groupBy(*EXAMPLE).agg(F.min("_len").alias("_min"))
         return inv.join(shortest, EXAMPLE).where("inv_idx <= _min").drop("_min")
     if mode != "fill" or strategy not in ("max", "randint"):
         raise ValueError(f"unknown alignment: {mode}, {strategy}")
     longest = lengths.groupBy(*EXAMPLE).agg(F.max("_len").alias("_max"))
-    gaps = lengths.join(longest, EXAMPLE).where("_len < _max")
-    slots = gaps.withColumn("_slot", F.explode(F.expr("sequence(_len + 1, _max)")))
+    sized = lengths.join(longest, EXAMPLE)
     if strategy == "max":
-        pick = F.col("_len")
-    else:
-        # The first 8 hex digits are enough to choose among any real trace length.
-        draw = F.conv(F.substring(seeded_hash(seed, *ROLLOUT, "_slot"), 1, 8), 16, 10).cast("bigint")
-        pick = F.pmod(draw, F.col("_len")) + 1
-    fillers = slots.select(*ROLLOUT, pick.alias("inv_idx"), "_slot")
+        # The last invocation takes all slots from its own to the longest.
+        slots = F.when(F.col("inv_idx") == F.col("_len"), F.sequence("inv_idx", "_max"))
+        return (
+            inv.join(sized, ROLLOUT)
+            .withColumn("inv_idx", F.explode(F.coalesce(slots, F.array("inv_idx"))))
+            .drop("_len", "_max")
+        )
+    # The first 8 hex digits are enough to choose among any real trace length.
+    draw = F.conv(F.substring(seeded_hash(seed, *ROLLOUT, "_slot"), 1, 8), 16, 10).cast("bigint")
+    fillers = (
+        sized.where("_len < _max")
+        .withColumn("_slot", F.explode(F.expr("sequence(_len + 1, _max)")))
+        .select(*ROLLOUT, (F.pmod(draw, F.col("_len")) + 1).alias("inv_idx"), "_slot")
+    )
     copies = inv.join(fillers, [*ROLLOUT, "inv_idx"]).withColumn("inv_idx", F.col("_slot")).drop("_slot")
     return inv.unionByName(copies)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.names import COMPONENT_NAMES, component_name, is_terminal, level_name, training_status
 from rolloom.plans.ordered import previous_value, running, top_rows, trailing_mean
+from rolloom.session import materialize
 
 ORDER = ["ts", "event_id"]
 RECENT_TIMES = 100
@@ -123,14 +124,18 @@ def decide_requests(events: DataFrame, limit: int) -> DataFrame:
     waiting = _with_waiting(events)
     opened = F.when(_opens() | (F.col("kind") == "submit"), F.struct(*ORDER, _opens().alias("open")))
     hour = F.date_trunc("hour", "ts")
+    waiting = materialize(waiting, "ledger-waiting")
     tracked = running(waiting, ["job_id", "batch_id"], ORDER, hour, {"_before": ("max", opened)}, False)
     was_open = F.coalesce(F.col("_before.open"), F.lit(False))
     delta = F.when(_opens() & ~was_open, 1).when((F.col("kind") == "submit") & was_open, -1).otherwise(0)
-    counted = running(tracked.withColumn("_delta", delta), ["job_id"], ORDER, hour, {"_open": ("sum", F.col("_delta"))})
+    stepped = materialize(tracked.withColumn("_delta", delta).drop("_before"), "ledger-steps")
+    counted = running(stepped, ["job_id"], ORDER, hour, {"_open": ("sum", F.col("_delta"))})
     emptied = F.when((F.col("_open") == 0) & (F.col("_delta") == -1), 1).otherwise(0)
+    marked = materialize(counted.withColumn("_emptied", emptied), "ledger-open")
     cut = running(
-        counted.withColumn("_emptied", emptied), ["job_id"], ORDER, hour, {"_stretch": ("sum", F.col("_emptied"))}, False
+        marked, ["job_id"], ORDER, hour, {"_stretch": ("sum", F.col("_emptied"))}, False
     ).withColumn("_stretch", F.coalesce("_stretch", F.lit(0)))
+    cut = materialize(cut.select(*events.columns, "waiting", "_open", "_stretch"), "ledger-stretches")
     busy = (
         cut.groupBy("job_id", "_stretch")
         .agg(F.max("_open").alias("_most"))
@@ -179,7 +184,7 @@ def batch_ledger(events: DataFrame, max_queue_size: int | None = None, ahead: in
 
     The pending ids, at most the queue limit, are in ascending order.
     """
-    decided = decide_requests(events, queue_limit(max_queue_size, ahead))
+    decided = materialize(decide_requests(events, queue_limit(max_queue_size, ahead)), "ledger-decisions")
     refused = decided.groupBy("job_id").agg(F.count_if(~F.col("accepted")).alias("refused"))
     state = _final_state(decided, _opens() & F.col("accepted"))
     summary = state.groupBy("job_id").agg(

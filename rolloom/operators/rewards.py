@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: added to the deviation before dividing by it.
@@ -18,17 +18,29 @@ def soft_penalty(reward: Column, length: Column, soft: int, maximum: int) -> Col
 
 
 def advantages(
-    df: DataFrame, group: Sequence[str], scale: bool, reward: str = "reward", name: str = "advantage"
+    df: DataFrame,
+    group: Sequence[str],
+    scale: bool,
+    reward: str = "reward",
+    name: str = "advantage",
+    bounded: bool = False,
 ) -> DataFrame:
     """Reward minus the group's mean, optionally over its sample deviation.
 
-    The statistics are pre-aggregated and joined back, so a large group never sits in one task.
+    The statistics are pre-aggregated and joined back, so a large group never sits in
+    one task. Where the size of the groups has been checked before, ``bounded=True``
+    uses a window instead, which needs no second pass and keeps the partitioning.
     """
-    stats = df.groupBy(*group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"))
+    mean, std = F.avg(reward), F.stddev_samp(reward)
+    if bounded:
+        window = Window.partitionBy(*group)
+        stats = df.withColumns({"_mean": mean.over(window), "_std": std.over(window)})
+    else:
+        stats = df.join(df.groupBy(*group).agg(mean.alias("_mean"), std.alias("_std")), list(group))
     centred = F.col(reward) - F.col("_mean")
     if scale:
         centred = centred / (F.col("_std") + F.lit(SCALE_EPSILON))
-    return df.join(stats, list(group)).withColumn(name, centred).drop("_mean", "_std")
+    return stats.withColumn(name, centred).drop("_mean", "_std")
 
 
 def reward_stats(df: DataFrame, group: Sequence[str], by: Sequence[str] = (), reward: str = "reward") -> DataFrame:

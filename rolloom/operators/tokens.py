@@ -95,7 +95,7 @@ def tokenize_with(df: DataFrame, text: str, encode: Callable[[str], list[int]],
 
 def _with_group_max(df: DataFrame, group: Sequence[str], value: Column, name: str) -> DataFrame:
     widest = df.groupBy(*group).agg(F.max(value).alias(name))
-    return df.join(widest, list(group))
+    return df.join(widest, list(group)) if group else df.withColumn(name, widest.scalar())
 
 
 def _repeat(value: int, times: Column) -> Column:

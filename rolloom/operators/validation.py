@@ -49,9 +49,9 @@ def file_format(lines: DataFrame) -> DataFrame:
 
 
 def format_consistency(lines: DataFrame, expected: DataFrame) -> DataFrame:
-    """Check files against ``expected`` (``file, expected_format, exists``).
+    """Check files against ``expected`` (``file, expected_format, present``).
 
-    Consistent: the file exists and every non-blank line parses and has
+    Consistent: the file is present and every non-blank line parses and has
     the expected format. An existing file without lines is consistent.
     """
     found = lines.select("file", "line_no", F.col("parsed").isNull().alias("broken"), record_format(F.col("parsed")).alias("format"))
@@ -60,12 +60,12 @@ def format_consistency(lines: DataFrame, expected: DataFrame) -> DataFrame:
     bad = F.col("broken") | (F.col("format") != F.col("expected_format"))
     return (
         expected.join(firsts, "file", "left")
-        .groupBy("file", "expected_format", "exists")
+        .groupBy("file", "expected_format", "present")
         .agg(F.min(F.when(bad, F.col("line_no"))).alias("first_mismatch"))
         .select(
             "file",
             "expected_format",
-            (F.col("exists") & F.col("first_mismatch").isNull()).alias("consistent"),
+            (F.col("present") & F.col("first_mismatch").isNull()).alias("consistent"),
             "first_mismatch",
         )
     )

@@ -1,5 +1,5 @@
 """Registered queries: every operator applied to the driver tables, with SQL to check it."""
 
-from rolloom.workload import rollouts
+from rolloom.workload import files, policy, rollouts, runs, tokens
 
-MODULES = (rollouts,)
+MODULES = (rollouts, files, tokens, policy, runs)

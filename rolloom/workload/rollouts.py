@@ -43,7 +43,7 @@ def _r(column, digits: int = 6):
 def group_advantages(spark, d):
     """Penalty, then scaled group-relative advantages."""
     shaped = fx.rollouts(spark, d).withColumn("reward", rw.soft_penalty(F.col("reward"), F.col("length"), 3, 6))
-    scored = rw.advantages(shaped, fx.GROUP, scale=True)
+    scored = rw.advantages(shaped, fx.GROUP, scale=True, bounded=True)
     return scored.select("user_id", "group_no", "event_id", _r("reward").alias("reward"), _r("advantage").alias("advantage"))
 
 
@@ -137,8 +137,12 @@ def predictor_invocations(spark, d):
     return fx.trace_invocations(spark, d)
 
 
+def _lengths(spark, d):
+    return g.trace_lengths(fx.traces(spark, d))
+
+
 def _complete(spark, d):
-    return g.drop_empty(fx.trace_invocations(spark, d), fx.trace_rollouts(spark, d))
+    return g.drop_empty(fx.trace_invocations(spark, d), fx.trace_rollouts(spark, d), _lengths(spark, d))
 
 
 _KEPT = with_sql("inv", "kept")
@@ -159,7 +163,7 @@ _LENGTHS = """, lens AS (SELECT predictor, example_id, teacher_id, rollout_idx,
     + " SELECT kept.* EXCLUDE (score) FROM kept JOIN span USING (predictor, example_id) WHERE inv_idx <= lo",
 )
 def aligned_truncate(spark, d):
-    return g.align(_complete(spark, d), "truncate").drop("score")
+    return g.align(_complete(spark, d), "truncate", lengths=_lengths(spark, d)).drop("score")
 
 
 @query(
@@ -171,7 +175,7 @@ def aligned_truncate(spark, d):
           AND k.rollout_idx = l.rollout_idx AND k.inv_idx = least(s.slot, l.n)""",
 )
 def aligned_fill_last(spark, d):
-    return g.align(_complete(spark, d), "fill", "max").drop("score")
+    return g.align(_complete(spark, d), "fill", "max", lengths=_lengths(spark, d)).drop("score")
 
 
 @query(
@@ -186,7 +190,7 @@ def aligned_fill_last(spark, d):
         AND k.teacher_id = l.teacher_id AND k.rollout_idx = l.rollout_idx AND k.inv_idx = l.pick""",
 )
 def aligned_fill_random(spark, d):
-    return g.align(_complete(spark, d), "fill", "randint", seed=7).drop("score")
+    return g.align(_complete(spark, d), "fill", "randint", 7, _lengths(spark, d)).drop("score")
 
 
 _MEMBER = "row_number() OVER (PARTITION BY predictor, example_id, inv_idx ORDER BY teacher_id, rollout_idx) - 1 AS member"
@@ -198,7 +202,7 @@ def ragged_groups(spark, d):
 
 
 def _groups(spark, d):
-    return g.to_groups(g.align(_complete(spark, d), "truncate"))
+    return g.to_groups(g.align(_complete(spark, d), "truncate", lengths=_lengths(spark, d)))
 
 
 @query(
