@@ -13,7 +13,7 @@ def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{output}/micro_batch={batch_id}")
 
     query = (
         stream.writeStream.outputMode(mode)

@@ -1,5 +1,5 @@
 """Registered queries: every operator applied to the driver tables, with SQL to check it."""
 
-from rolloom.workload import files, policy, rollouts, runs, tokens
+from rolloom.workload import files, lifecycle, policy, rollouts, runs, streams, tokens
 
-MODULES = (rollouts, files, tokens, policy, runs)
+MODULES = (rollouts, files, tokens, policy, runs, lifecycle, streams)
