@@ -187,7 +187,7 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     means = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("_mean"))
     advantage = orders.join(means, "o_custkey").select(
-        F.col("o_orderkey").alias("seq_id"), ((F.col("o_totalprice") - F.col("_mean")) / 1e5).alias("advantage")
+        F.col("o_orderkey").alias("seq_id"), ((F.col("o_totalprice") - F.col("_mean")) / 99991).alias("advantage")
     )
     lines = table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 4).alias("rank"),
@@ -361,7 +361,7 @@ SQL = {
         dpo_lines AS (SELECT *, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw ELSE 'null' END AS j FROM dpo_all)""",
     "token_logps": """
         adv AS (
-            SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) / 1e5 AS advantage FROM orders),
+            SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) / 99991 AS advantage FROM orders),
         toks AS (
             SELECT l_suppkey % 4 AS rank, l_orderkey AS seq_id, l_linenumber AS pos, l_partkey AS part, advantage,
                    -10 * l_tax AS logp_new, CASE WHEN l_linenumber <> 7 THEN -10 * l_discount END AS logp_old,
