@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.plans.ordered import grouped_rank, seeded_hash
@@ -82,11 +82,16 @@ def align(
     return inv.unionByName(copies)
 
 
-def to_groups(aligned: DataFrame) -> DataFrame:
+def to_groups(aligned: DataFrame, bounded: bool = False) -> DataFrame:
     """Transpose: group g of an example holds the g-th invocation of every rollout.
 
-    Adds the 0-based ``member``, counted in rollout order.
+    Adds the 0-based ``member``, counted in rollout order. ``bounded=True`` asserts
+    that the number of rollouts per example has been checked, so that a group
+    fits a plain window.
     """
+    if bounded:
+        place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("teacher_id", "rollout_idx"))
+        return aligned.withColumn("member", place.cast("bigint") - 1)
     chunk = F.struct("teacher_id", F.floor(F.col("rollout_idx") / 1024).alias("part"))
     ranked = grouped_rank(aligned, GROUP, ["teacher_id", "rollout_idx"], chunk, "member")
     return ranked.withColumn("member", F.col("member") - 1)
@@ -114,14 +119,20 @@ def chat_samples(inv: DataFrame, format_failure_score: float) -> DataFrame:
     )
 
 
-def pad_groups(samples: DataFrame, group: Sequence[str], size: int, member: str = "member") -> DataFrame:
+def pad_groups(
+    samples: DataFrame, group: Sequence[str], size: int, member: str = "member", bounded: bool = False
+) -> DataFrame:
     """Fill short groups to ``size`` by repeating their members cyclically.
 
-    Member i of n takes the slots i, i+n, i+2n ... below ``size``.
+    Member i of n takes the slots i, i+n, i+2n ... below ``size``. ``bounded`` as in ``to_groups``.
     """
-    counts = samples.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1))
+    if bounded:
+        counted = samples.withColumn("_n", n.over(Window.partitionBy(*group)))
+    else:
+        counted = samples.join(samples.groupBy(*group).agg(n.alias("_n")), list(group))
     slots = F.expr(f"sequence({member}, greatest({member}, {size - 1}L), _n)")
-    return samples.join(counts, list(group)).withColumn(member, F.explode(slots)).drop("_n")
+    return counted.withColumn(member, F.explode(slots)).drop("_n")
 
 
 def diversity(samples: DataFrame, group: Sequence[str], content: Sequence[str]) -> DataFrame:
@@ -204,18 +215,11 @@ def union_groups(per_predictor: Sequence[DataFrame]) -> DataFrame:
 def nest_groups(samples: DataFrame, group: Sequence[str], size: int, content: Sequence[str]) -> DataFrame:
     """One row per group with its samples as an array in member order.
 
-    Fails, before anything is gathered, if a group is larger than ``size``.
+    Members count from 0, so the first row with a member of ``size`` or more shows that a
+    group is too large and fails the job: no array ever exceeds ``size``.
     """
-    counts = group_sizes(samples, group, size)
-    checked = counts.select(
-        *group,
-        F.when(F.col("status") == "over", F.raise_error(F.lit("group larger than declared")).cast("bigint"))
-        .otherwise(F.col("size"))
-        .alias("_size"),
-    )
-    return (
-        samples.join(checked, list(group))
-        .where("_size IS NOT NULL")
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("member", *content))).alias("samples"))
+    fits = F.when(F.col("member") < size, F.col("member")).otherwise(
+        F.raise_error(F.lit(f"a group has more than {size} samples")).cast("bigint")
     )
+    entry = F.struct(fits.alias("member"), *content)
+    return samples.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("samples"))

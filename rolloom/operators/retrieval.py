@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.text import terms
 from rolloom.plans.ordered import top_rows
+from rolloom.session import materialize
+
+# A term no analyzer yields; every document counts it once.
+_EVERY_DOCUMENT = ""
 
 
 def build_corpus(df: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
@@ -31,22 +35,33 @@ def bm25_topk(
     often as it occurs there. Of hits with the same text only the best is kept, so
     fewer than k may remain. Documents sharing no term with a query are not hits.
 
-    Only terms that occur in some query leave the scan. A frequent term is cut
-    into ``salts`` parts by document before it meets the queries.
+    The corpus is analyzed once. What leaves that pass, and is stored, are the counts of
+    the terms that some query asks for, and one count of the empty term per document, which
+    carries its length. A frequent term is cut into ``salts`` parts by document before
+    it meets the queries.
     """
-    analyzed = corpus.select("doc_id", analyze(F.col("text")).alias("_terms"))
-    totals = analyzed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_terms")).alias("len"))
     asked = (
         queries.select("query_id", F.explode(analyze(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("_asked"))
     )
+    wanted = asked.select("term").union(queries.select(F.lit(_EVERY_DOCUMENT))).distinct()
+    analyzed = corpus.select("doc_id", analyze(F.col("text")).alias("_terms"))
     postings = (
-        analyzed.select("doc_id", F.size("_terms").alias("_len"), F.explode("_terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
+        analyzed.select(
+            "doc_id",
+            F.size("_terms").alias("_len"),
+            F.explode(F.array_append("_terms", F.lit(_EVERY_DOCUMENT))).alias("term"),
+        )
+        .join(wanted, "term", "left_semi")
         .groupBy("doc_id", "_len", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
+    postings = materialize(postings, "postings")
+    totals = postings.where(F.col("term") == _EVERY_DOCUMENT).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("len")
+    )
+    postings = postings.where(F.col("term") != _EVERY_DOCUMENT)
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = (
         asked.join(frequency, "term")
@@ -61,10 +76,11 @@ def bm25_topk(
     saturation = F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))
     scored = (
         postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        .join(weighted, ["term", "_salt"])
         .withColumn("_avg", totals.select("len").scalar())
+        .withColumn("_weight", F.col("_tf") / saturation)
+        .join(weighted.hint("merge"), ["term", "_salt"])
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("_idf") * F.col("_tf") / saturation), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("_idf") * F.col("_weight")), 6).alias("score"))
     )
     best = top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, "rank")
     texts = corpus.select("doc_id", F.md5("text").alias("_same"))

@@ -202,7 +202,8 @@ def ragged_groups(spark, d):
 
 
 def _groups(spark, d):
-    return g.to_groups(g.align(_complete(spark, d), "truncate", lengths=_lengths(spark, d)))
+    # Four rollouts per example by construction: a group holds at most four rows.
+    return g.to_groups(g.align(_complete(spark, d), "truncate", lengths=_lengths(spark, d)), bounded=True)
 
 
 @query(
@@ -247,8 +248,8 @@ def chat_sample_rewards(spark, d):
       FROM sized, unnest(generate_series(0, 5)) s(slot) WHERE s.slot % n = member""",
 )
 def padded_groups(spark, d):
-    ragged = g.to_groups(g.align(_complete(spark, d), "ragged"))
-    return g.pad_groups(ragged, g.GROUP, 6).drop("score")
+    ragged = g.to_groups(g.align(_complete(spark, d), "ragged"), bounded=True)
+    return g.pad_groups(ragged, g.GROUP, 6, bounded=True).drop("score")
 
 
 @query(
