@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.names import COMPONENT_NAMES, component_name, is_terminal, level_name, training_status
-from rolloom.plans.ordered import previous_value, running, top_rows, trailing_mean
+from rolloom.plans.ordered import previous_value, running, time_chunk, top_rows, trailing_mean
 from rolloom.session import materialize
 
 ORDER = ["ts", "event_id"]
@@ -87,7 +87,7 @@ def _with_waiting(events: DataFrame) -> DataFrame:
     """Add ``waiting``: just before the event, a submitted result of the batch was not yet fetched."""
     moved = F.when(F.col("kind").isin("submit", "get"), F.struct(*ORDER, F.col("kind")))
     seen = running(
-        events, ["job_id", "batch_id"], ORDER, F.date_trunc("hour", "ts"), {"_moved": ("max", moved)}, False
+        events, ["job_id", "batch_id"], ORDER, time_chunk("ts"), {"_moved": ("max", moved)}, False
     )
     return seen.withColumn("waiting", F.coalesce(F.col("_moved.kind") == "submit", F.lit(False))).drop("_moved")
 
@@ -123,17 +123,17 @@ def decide_requests(events: DataFrame, limit: int) -> DataFrame:
     """
     waiting = _with_waiting(events)
     opened = F.when(_opens() | (F.col("kind") == "submit"), F.struct(*ORDER, _opens().alias("open")))
-    hour = F.date_trunc("hour", "ts")
+    at = time_chunk("ts")
     waiting = materialize(waiting, "ledger-waiting")
-    tracked = running(waiting, ["job_id", "batch_id"], ORDER, hour, {"_before": ("max", opened)}, False)
+    tracked = running(waiting, ["job_id", "batch_id"], ORDER, at, {"_before": ("max", opened)}, False)
     was_open = F.coalesce(F.col("_before.open"), F.lit(False))
     delta = F.when(_opens() & ~was_open, 1).when((F.col("kind") == "submit") & was_open, -1).otherwise(0)
     stepped = materialize(tracked.withColumn("_delta", delta).drop("_before"), "ledger-steps")
-    counted = running(stepped, ["job_id"], ORDER, hour, {"_open": ("sum", F.col("_delta"))})
+    counted = running(stepped, ["job_id"], ORDER, at, {"_open": ("sum", F.col("_delta"))})
     emptied = F.when((F.col("_open") == 0) & (F.col("_delta") == -1), 1).otherwise(0)
     marked = materialize(counted.withColumn("_emptied", emptied), "ledger-open")
     cut = running(
-        marked, ["job_id"], ORDER, hour, {"_stretch": ("sum", F.col("_emptied"))}, False
+        marked, ["job_id"], ORDER, at, {"_stretch": ("sum", F.col("_emptied"))}, False
     ).withColumn("_stretch", F.coalesce("_stretch", F.lit(0)))
     cut = materialize(cut.select(*events.columns, "waiting", "_open", "_stretch"), "ledger-stretches")
     busy = (
@@ -222,7 +222,7 @@ def overdue(events: DataFrame, timeout_seconds: float, now: Column | None = None
 def generation_times(events: DataFrame, rows: int = RECENT_TIMES) -> DataFrame:
     """Every submit with the mean generation time of the job's last ``rows`` submits."""
     return trailing_mean(
-        events.where("kind = 'submit'"), ["job_id"], ORDER, F.date_trunc("hour", "ts"),
+        events.where("kind = 'submit'"), ["job_id"], ORDER, time_chunk("ts"),
         F.col("generation_time"), rows, "avg_generation_time",
     )
 

@@ -52,14 +52,14 @@ def mean_kl(df: DataFrame) -> DataFrame:
 
 
 def loss(
-    df: DataFrame, kind: str, max_seq_len: int | None = None, completion_tokens: DataFrame | None = None
+    df: DataFrame, kind: str, max_seq_len: int | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
     """The loss of each rank: ``rank, loss``.
 
     ``grpo`` averages the sequences' masked means; ``bnpo`` divides the total by the tokens;
     ``dr_grpo`` by sequences times ``max_seq_len``; ``dapo`` by the global number of
-    completion tokens over the number of ranks. That number is the one-row
-    ``completion_tokens`` (``tokens``) if given, else the sum of the mask.
+    completion tokens over the number of ranks. Those two are read from ``totals``, one
+    row of ``tokens`` and ``ranks``, if given; else they are counted over ``df``.
     """
     if kind not in LOSS_KINDS:
         raise ValueError(f"unknown loss type: {kind}")
@@ -79,12 +79,11 @@ def loss(
     per_rank = per_seq.groupBy("rank").agg(value.alias("loss"))
     if kind != "dapo":
         return per_rank
-    if completion_tokens is None:
-        completion_tokens = df.agg(F.sum(mask).alias("tokens"))
-    ranks = df.agg(F.count_distinct("rank").alias("n")).scalar()
+    if totals is None:
+        totals = df.agg(F.sum(mask).alias("tokens"), F.count_distinct("rank").alias("ranks"))
     return (
-        per_rank.withColumn("_tokens", completion_tokens.select("tokens").scalar())
-        .withColumn("_ranks", ranks)
+        per_rank.withColumn("_tokens", totals.select("tokens").scalar())
+        .withColumn("_ranks", totals.select("ranks").scalar())
         .select("rank", F.try_divide(F.col("loss"), F.col("_tokens") / F.col("_ranks")).alias("loss"))
     )
 

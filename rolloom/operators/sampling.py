@@ -17,8 +17,7 @@ from rolloom.plans.ordered import grouped_rank, hash_chunk, seeded_hash, step_ch
 def shuffled(df: DataFrame, key: str, seed: object, keys: Sequence[str] = (), name: str = "position") -> DataFrame:
     """Add the 0-based place of each row in a seeded shuffle, within ``keys``."""
     hashed = df.withColumn("_hash", seeded_hash(seed, *keys, key))
-    digits = 2 if keys else 4
-    ranked = grouped_rank(hashed, keys, ["_hash", key], hash_chunk(F.col("_hash"), digits), name)
+    ranked = grouped_rank(hashed, keys, ["_hash", key], hash_chunk(F.col("_hash")), name)
     return ranked.withColumn(name, F.col(name) - 1).drop("_hash")
 
 

@@ -37,8 +37,8 @@ def step_chunk(column: Column | str, size: int = 1024) -> Column:
     return F.floor(column / F.lit(size))
 
 
-def time_chunk(column: Column | str, unit: str = "hour") -> Column:
-    """Chunk for a time order."""
+def time_chunk(column: Column | str, unit: str = "minute") -> Column:
+    """Chunk for a time order. A fine unit costs little: it only adds rows to the chunk table."""
     return F.date_trunc(unit, column)
 
 

@@ -81,7 +81,8 @@ def trace_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = invocations(traces(spark, sf_dir), LINE_ORDER, time_chunk("l_shipdate", "month"))
+    chunk = F.struct("l_shipdate", F.expr("l_partkey DIV 1024").alias("part"))
+    numbered = invocations(traces(spark, sf_dir), LINE_ORDER, chunk)
     return numbered.select(
         "predictor", "example_id", "teacher_id", "rollout_idx", "inv_idx", "l_partkey", F.col("l_discount").alias("score")
     )

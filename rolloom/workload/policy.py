@@ -83,12 +83,12 @@ _LOSS_SQL = {
 def _loss_query(kind):
     @query(f"policy_loss_{kind}", _SEQ + _LOSS_SQL[kind])
     def policy_loss(spark, d):
-        tokens = None
-        if kind == "dapo":
-            # The global count needs only the mask, not the joined advantages.
-            lines = fx.table(spark, d, "lineitem")
-            tokens = lines.agg(F.count_if(F.col("l_linestatus") == "O").alias("tokens"))
-        losses = po.loss(po.token_loss(_ratios(spark, d), DELTA, BETA), kind, 16, tokens)
+        # The global counts need only the mask and the rank, not the joined advantages.
+        totals = fx.table(spark, d, "lineitem").agg(
+            F.count_if(F.col("l_linestatus") == "O").alias("tokens"),
+            F.count_distinct(F.col("l_suppkey") % 4).alias("ranks"),
+        )
+        losses = po.loss(po.token_loss(_ratios(spark, d), DELTA, BETA), kind, 16, totals)
         return losses.select("rank", F.round("loss", 6).alias("loss"))
 
 
