@@ -32,7 +32,7 @@ def token_rows(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 
 def build_vocabulary(token_table: DataFrame, specials: Sequence[str] = ()) -> DataFrame:
-    """``token, id, uses``: specials first, in order; the rest numbered in md5 order."""
+    """``token, token_id, uses``: specials first, in order; the rest numbered in md5 order."""
     counted = (
         token_table.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -41,12 +41,12 @@ def build_vocabulary(token_table: DataFrame, specials: Sequence[str] = ()) -> Da
         special = F.when(F.col("token") == name, F.lit(i).cast("bigint")).otherwise(special)
     rest = counted.where(~F.col("token").isin(*specials)) if specials else counted
     ranked = grouped_rank(
-        rest.withColumn("_hash", F.md5("token")), [], ["_hash", "token"], hash_chunk(F.col("_hash")), "id"
+        rest.withColumn("_hash", F.md5("token")), [], ["_hash", "token"], hash_chunk(F.col("_hash")), "token_id"
     )
-    numbered = ranked.select("token", (F.col("id") - 1 + len(specials)).alias("id"), "uses")
+    numbered = ranked.select("token", (F.col("token_id") - 1 + len(specials)).alias("token_id"), "uses")
     if not specials:
         return numbered
-    fixed = counted.select("token", special.alias("id"), "uses").where("id IS NOT NULL")
+    fixed = counted.select("token", special.alias("token_id"), "uses").where("token_id IS NOT NULL")
     return fixed.unionByName(numbered)
 
 
@@ -73,7 +73,7 @@ def tokenize(
     """
     rows = look_up(token_rows(df, key, text), vocabulary, "token", "uses")
     entry = F.when(
-        F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
+        F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(unknown)).cast("int").alias("id"))
     )
     return (
         rows.groupBy(*key)

@@ -134,7 +134,7 @@ def _vocabulary(texts):
     return tk.build_vocabulary(tk.token_rows(texts, ["conv_id"], "text"), SPECIALS)
 
 
-@query("vocabulary", _TOKENS + " SELECT token, id, uses FROM vocab")
+@query("vocabulary", _TOKENS + " SELECT token, id AS token_id, uses FROM vocab")
 def vocabulary(spark, d):
     return _vocabulary(_texts(spark, d))
 
