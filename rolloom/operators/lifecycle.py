@@ -116,62 +116,94 @@ def decide_requests(events: DataFrame, limit: int) -> DataFrame:
 
     Whether a result is waiting does not depend on refusals, so it is computed first,
     per batch. Then the pending sets are counted as if there were no limit: the real
-    set is always a part of that one. Hence a stretch of a job's events that starts with
-    the unlimited set empty is independent of all before it, and one in which that
-    set never exceeds the limit has no refusals. Only the other stretches
-    are replayed, event by event, holding at most ``limit`` ids.
+    set is always a part of that *open* set. A job whose open set never exceeds the limit
+    has no refusals. In the other jobs a batch is *unsure* from entering an open set beyond
+    the limit until it is submitted, or requested again within the limit. While no
+    batch is unsure the real set equals the open set, so nothing is refused and the
+    state is known. Only the stretches in between are replayed in order.
+
+    Each step reads the one before twice, so their narrow results are stored.
     """
-    waiting = _with_waiting(events)
-    opened = F.when(_opens() | (F.col("kind") == "submit"), F.struct(*ORDER, _opens().alias("open")))
     at = time_chunk("ts")
-    waiting = materialize(waiting, "ledger-waiting")
-    tracked = running(waiting, ["job_id", "batch_id"], ORDER, at, {"_before": ("max", opened)}, False)
+    batch, submit = ["job_id", "batch_id"], F.col("kind") == "submit"
+    waiting = materialize(_with_waiting(events), "ledger-waiting")
+    moves = F.when(_opens() | submit, F.struct(*ORDER, _opens().alias("open")))
     was_open = F.coalesce(F.col("_before.open"), F.lit(False))
-    delta = F.when(_opens() & ~was_open, 1).when((F.col("kind") == "submit") & was_open, -1).otherwise(0)
-    stepped = materialize(tracked.withColumn("_delta", delta).drop("_before"), "ledger-steps")
-    counted = running(stepped, ["job_id"], ORDER, at, {"_open": ("sum", F.col("_delta"))})
-    emptied = F.when((F.col("_open") == 0) & (F.col("_delta") == -1), 1).otherwise(0)
-    marked = materialize(counted.withColumn("_emptied", emptied), "ledger-open")
-    cut = running(
-        marked, ["job_id"], ORDER, at, {"_stretch": ("sum", F.col("_emptied"))}, False
-    ).withColumn("_stretch", F.coalesce("_stretch", F.lit(0)))
-    cut = materialize(cut.select(*events.columns, "waiting", "_open", "_stretch"), "ledger-stretches")
-    busy = (
-        cut.groupBy("job_id", "_stretch")
-        .agg(F.max("_open").alias("_most"))
-        .where(F.col("_most") > limit)
-        .select("job_id", "_stretch")
+    delta = F.when(_opens() & ~F.col("_was_open"), 1).when(submit & F.col("_was_open"), -1).otherwise(0)
+    stepped = (
+        running(waiting, batch, ORDER, at, {"_before": ("max", moves)}, False)
+        .withColumn("_was_open", was_open)
+        .withColumn("_delta", delta)
+        .drop("_before")
+    )
+    stepped = materialize(stepped, "ledger-steps")
+    counted = materialize(
+        running(stepped, ["job_id"], ORDER, at, {"_open": ("sum", F.col("_delta"))}), "ledger-open"
     )
+
     columns = [*events.columns, "waiting"]
-    calm = (
-        cut.join(busy, ["job_id", "_stretch"], "left_anti")
-        .select(*columns)
-        .withColumn("accepted", F.lit(True))
+    full = counted.where(F.col("_open") > limit).select("job_id").distinct()
+    calm = counted.join(full, "job_id", "left_anti").select(*columns, F.lit(True).alias("accepted"))
+    tight = counted.join(full, "job_id", "left_semi")
+
+    enters = F.col("_delta") == 1
+    settles = submit | (_opens() & (F.col("_open") <= limit))
+    sure = {
+        "_sure": ("max", F.when(enters | settles, F.struct(*ORDER, (enters & ~settles).alias("unsure")))),
+        "_entered": ("max", F.when(enters, F.struct(*ORDER))),
+    }
+    was_unsure = F.coalesce(F.col("_sure.unsure"), F.lit(False))
+    change = F.when(enters & ~settles, 1).when(settles & was_unsure, -1).otherwise(0)
+    marked = running(tight, batch, ORDER, at, sure, False).select(
+        *columns, "_was_open", "_delta", "_open", change.alias("_change"),
+        F.col("_entered.ts").alias("_entered_ts"), F.col("_entered.event_id").alias("_entered_id"),
+    )
+    marked = materialize(marked, "ledger-unsure")
+    unsure = materialize(
+        running(marked, ["job_id"], ORDER, at, {"_unsure": ("sum", F.col("_change"))}), "ledger-stretches"
     )
-    crowded = cut.join(busy, ["job_id", "_stretch"], "left_semi").select(*columns, "_stretch")
-    return calm.unionByName(_replay(crowded, limit).select(*columns, "accepted"))
+    settled = F.when(F.col("_unsure") == 0, 1).otherwise(0)
+    cut = running(unsure, ["job_id"], ORDER, at, {"_stretch": ("sum", settled)}, False).withColumn(
+        "_stretch", F.coalesce("_stretch", F.lit(0))
+    )
+    open_question = (F.col("_unsure") > 0) | (F.col("_unsure") - F.col("_change") > 0)
+    known = unsure.where(~open_question).select(*columns, F.lit(True).alias("accepted"))
+    replayed = _replay(cut.where(open_question), limit).select(*columns, "accepted")
+    return calm.unionByName(known).unionByName(replayed)
 
 
 def _replay(events: DataFrame, limit: int) -> DataFrame:
-    """Fold over sorted events, a batch of rows at a time; the state is one pending set."""
+    """Fold over sorted events, a batch of rows at a time.
+
+    When a stretch starts the pending set equals the open set, so its size is known and a
+    batch belongs to it if it is open and entered before. The state is that size and the
+    ids accepted since, at most ``limit``.
+    """
+
+    used = ["job_id", "_stretch", "ts", "event_id", "batch_id", "kind", "waiting",
+            "_was_open", "_open", "_delta", "_entered_ts", "_entered_id"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, pending = None, set()
-        for batch in batches:
+        current, start, size, added = None, None, 0, set()
+        for rows in batches:
             accepted = []
-            for row in zip(batch["job_id"], batch["_stretch"], batch["batch_id"], batch["kind"], batch["waiting"]):
-                job, stretch, batch_id, kind, waiting = row
+            for job, stretch, ts, event, batch, kind, waiting, was_open, now_open, delta, *entered in zip(
+                *(rows[c] for c in used)
+            ):
                 if (job, stretch) != current:
-                    current, pending = (job, stretch), set()
-                ok = True
-                if kind == "submit":
-                    pending.discard(batch_id)
-                elif kind == "request" and not waiting and batch_id not in pending:
-                    ok = len(pending) < limit
+                    current, start = (job, stretch), (ts, event)
+                    size, added = now_open - delta, set()
+                inside, ok = batch in added or (was_open and tuple(entered) < start), True
+                if kind == "submit" and inside:
+                    added.discard(batch)
+                    size -= 1
+                elif kind == "request" and not waiting and not inside:
+                    ok = bool(size < limit)
                     if ok:
-                        pending.add(batch_id)
+                        added.add(batch)
+                        size += 1
                 accepted.append(ok)
-            yield batch.assign(accepted=accepted)
+            yield rows.assign(accepted=accepted)
 
     schema = events.schema.simpleString().removeprefix("struct<").removesuffix(">")
     ordered = events.repartition("job_id", "_stretch").sortWithinPartitions("job_id", "_stretch", *ORDER)

@@ -2,7 +2,7 @@
 
 A plain window puts a whole key into one task. Here every key is cut into
 *chunks* by a caller-supplied expression that never decreases along the order
-(an hour, ``step div 1024``, a hash prefix ...). Each chunk is handled by a local
+(a minute, ``step div 1024``, a hash prefix ...). Each chunk is handled by a local
 window; what a chunk needs from the chunks before it (a count, a sum, a last value)
 comes from a table with one pre-aggregated row per (key, chunk). The data is
 shuffled once, on (key, chunk).
@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KEY, _CHUNK = "_key", "_chunk"
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
@@ -195,7 +196,8 @@ def top_rows(
     Ranked first within (key, salt), so that a hot key is cut by many tasks and
     only ``n * salts`` of its rows reach the final ranking.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts))
     partial = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -47,6 +47,43 @@ def group_advantages(spark, d):
     return scored.select("user_id", "group_no", "event_id", _r("reward").alias("reward"), _r("advantage").alias("advantage"))
 
 
+@query(
+    "training_batches",
+    with_sql("rollouts")
+    + f""", scored AS (
+        SELECT *, CASE WHEN NOT failed THEN reward WHEN format_reward IS NULL OR format_reward = 0 THEN {FAILURE} ELSE format_reward END AS score
+        FROM rollouts),
+      shaped AS (
+        SELECT *, CASE WHEN length > 3 AND score > 0 THEN score * (1 - (length - 3) / 3.0::DOUBLE) ELSE score END AS final FROM scored),
+      advantaged AS (
+        SELECT *, (final - avg(final) OVER g) / (stddev_samp(final) OVER g + 0.0001) AS advantage, group_no * 8 + k AS idx,
+               count(*) OVER (PARTITION BY user_id) AS total
+        FROM shaped WINDOW g AS (PARTITION BY user_id, group_no)),
+      ranked AS (SELECT *, idx // ((total + 1) // 2) AS rank FROM advantaged),
+      placed AS (
+        SELECT *, count(*) OVER (PARTITION BY user_id, rank) // 4 AS size,
+               row_number() OVER (PARTITION BY user_id, rank ORDER BY md5('11:' || user_id || ':' || rank || ':' || idx), idx) - 1 AS place
+        FROM ranked)
+      SELECT user_id, event_id, rank, place // size AS micro_batch, round(final, 6) AS reward, round(advantage, 6) AS advantage
+      FROM placed WHERE place < size * 4""",
+)
+def training_batches(spark, d):
+    """What a trainer gets: failure scores, penalty, advantages, then ranks and micro-batches."""
+    score = g.shaped_score(F.col("failed"), F.col("format_reward"), F.col("reward"), FAILURE)
+    shaped = (
+        fx.rollouts(spark, d)
+        .withColumn("reward", score)
+        .withColumn("reward", rw.soft_penalty(F.col("reward"), F.col("length"), 3, 6))
+    )
+    scored = rw.advantages(shaped, fx.GROUP, scale=True, bounded=True)
+    batch = scored.select(
+        "user_id", "event_id", (F.col("group_no") * fx.GROUP_SIZE + F.col("k")).alias("idx"), "reward", "advantage"
+    )
+    return sp.shard(batch, ["user_id"], "idx", 2, 4, 11).select(
+        "user_id", "event_id", "rank", "micro_batch", _r("reward").alias("reward"), _r("advantage").alias("advantage")
+    )
+
+
 @query(
     "centred_advantages",
     with_sql("rollouts")
