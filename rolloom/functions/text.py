@@ -33,6 +33,11 @@ def title_of(document: Column) -> Column:
     return F.substring_index(document, " | ", 1)
 
 
+def distinct_titles(facts: Column) -> Column:
+    """The different ``key`` values of a claim's supporting facts."""
+    return F.array_distinct(F.transform(facts, lambda fact: fact["key"]))
+
+
 def title_recall(gold: Column, retrieved: Column) -> Column:
     """Distinct gold titles among the titles of the retrieved entries, over the gold list length."""
     titles = F.transform(retrieved, title_of)

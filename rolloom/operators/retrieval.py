@@ -106,11 +106,16 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], predi
 def decode_labels(
     df: DataFrame, names: Mapping[int, str] | DataFrame, allowed: DataFrame | None, order: Sequence[str], n: int | None
 ) -> DataFrame:
-    """Replace an integer ``label`` by its name, keep allowed names, take the first ``n`` in order."""
-    if not isinstance(names, DataFrame):
-        spark = df.sparkSession
-        names = spark.createDataFrame(list(names.items()), "label int, name string")
-    decoded = df.join(names, "label").drop("label").withColumnRenamed("name", "label")
+    """Replace an integer ``label`` by its name, keep allowed names, take the first ``n`` in order.
+
+    Names given as a mapping become a literal, so decoding needs no join; a table of
+    names (``label, name``) is joined. Rows whose label has no name are left out.
+    """
+    if isinstance(names, DataFrame):
+        decoded = df.join(names, "label").drop("label").withColumnRenamed("name", "label")
+    else:
+        literal = F.create_map(*[F.lit(part) for pair in names.items() for part in pair])
+        decoded = df.withColumn("label", F.try_element_at(literal, F.col("label"))).where("label IS NOT NULL")
     if allowed is not None:
         decoded = decoded.join(allowed.select("label"), "label", "left_semi")
     return decoded.orderBy(*order).limit(n) if n is not None else decoded

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "rolloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library relies on; ``conf`` overrides them."""
+    """A session with the settings the library relies on; ``conf`` overrides them.
+
+    On a cluster also give ``spark.checkpoint.dir`` and, for large inputs,
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` of about the shuffled bytes
+    over 128 MB: AQE merges partitions that turn out small but does not add any.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -80,7 +80,8 @@ def batch_ledger_stream(events: DataFrame, max_queue_size: int | None = None, ah
     """After every micro-batch, the ledger of each job that had events in it.
 
     The row with the most ``events`` is a job's current one. Events of a job must reach
-    the stream in (ts, event_id) order across micro-batches; within one they are sorted.
+    the stream in (ts, event_id) order across micro-batches; within one they are sorted, so bound
+    a micro-batch with the source's rate limit (``maxBytesPerTrigger``, ``maxFilesPerTrigger``).
     Needs the RocksDB state store (``ROCKSDB``).
     """
     return (

@@ -330,6 +330,24 @@ def first_row_per_key(spark, d):
     return firsts.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+@query(
+    "distinct_titles",
+    r"""SELECT doc_id, len(t) AS facts, len(list_distinct(t)) AS titles, md5(array_to_string(list_sort(list_distinct(t)), ' ')) AS titles_md5
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)""",
+)
+def distinct_titles(spark, d):
+    """Every word of a document is a supporting fact."""
+    facts = F.transform(tx.terms(F.col("text")), lambda w: F.struct(w.alias("key"), F.length(w).alias("sentence")))
+    docs = fx.table(spark, d, "documents").select("doc_id", facts.alias("facts"))
+    titles = tx.distinct_titles(F.col("facts"))
+    return docs.select(
+        "doc_id",
+        F.size("facts").alias("facts"),
+        F.size(titles).alias("titles"),
+        F.md5(F.array_join(F.array_sort(titles), " ")).alias("titles_md5"),
+    )
+
+
 def _corpus(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "source", "text")
     titled = docs.select(
