@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.plans.ordered import grouped_rank, hash_chunk, seeded_hash, step_chunk
+from rolloom.plans.ordered import grouped_rank, hash_chunk, seeded_hash
+
+# Chunks of a global rank: their counts are the only rows that meet in one task.
+MAX_CHUNKS = 65536
 
 
 def shuffled(df: DataFrame, key: str, seed: object, keys: Sequence[str] = (), name: str = "position") -> DataFrame:
@@ -142,9 +145,14 @@ def dispatch(
     as many as needed: the j-th id gets place ``j mod n`` of permutation ``j div n``.
     """
     free = pending.select(batch_key).distinct().join(fulfilled.select(batch_key), batch_key, "left_anti")
-    ordered = grouped_rank(free, [], [batch_key], step_chunk(batch_key), "_j").withColumn("_j", F.col("_j") - 1)
+    id_range = free.agg(F.count(F.lit(1)).alias("n"), F.min(batch_key).alias("low"), F.max(batch_key).alias("high"))
+    low, high = id_range.select("low").scalar(), id_range.select("high").scalar()
+    # Ids are unique, so equal ranges of them are chunks of bounded size and number.
+    width = F.ceil((high - low + 1) / F.lit(MAX_CHUNKS))
+    chunk = F.floor((F.col(batch_key) - low) / width)
+    ordered = grouped_rank(free, [], [batch_key], chunk, "_j").withColumn("_j", F.col("_j") - 1)
     n = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
-    needed = free.agg(F.count(F.lit(1)).alias("n")).scalar()
+    needed = id_range.select("n").scalar()
     queue = (
         groups.select(group_key)
         .withColumn("_perms", F.ceil(needed / n))

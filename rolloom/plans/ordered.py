@@ -2,7 +2,7 @@
 
 A plain window puts a whole key into one task. Here every key is cut into
 *chunks* by a caller-supplied expression that never decreases along the order
-(a minute, ``step div 1024``, a hash prefix ...). Each chunk is handled by a local
+(a minute, ``step div 65536``, a hash prefix ...). Each chunk is handled by a local
 window; what a chunk needs from the chunks before it (a count, a sum, a last value)
 comes from a table with one pre-aggregated row per (key, chunk). The data is
 shuffled once, on (key, chunk).
@@ -32,7 +32,7 @@ def hash_chunk(hashed: Column, digits: int = 4) -> Column:
     return F.substring(hashed, 1, digits)
 
 
-def step_chunk(column: Column | str, size: int = 1024) -> Column:
+def step_chunk(column: Column | str, size: int = 65536) -> Column:
     """Chunk for an integer order: ``size`` consecutive numbers."""
     column = F.col(column) if isinstance(column, str) else column
     return F.floor(column / F.lit(size))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rolloom.operators.grouping import invocations
-from rolloom.plans.ordered import grouped_rank, time_chunk
+from rolloom.plans.ordered import grouped_rank, step_chunk, time_chunk
 
 GROUP_SIZE = 8
 GROUP = ["user_id", "group_no"]
@@ -150,8 +150,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The i-th good document of a language against its i-th bad one, in id order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     marked = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
-    chunk = F.expr("doc_id DIV 4096")
-    placed = grouped_rank(marked, ["lang", "quality"], ["doc_id"], chunk, "pair_no")
+    placed = grouped_rank(marked, ["lang", "quality"], ["doc_id"], step_chunk("doc_id"), "pair_no")
     good = placed.where("quality = 1").select("lang", "pair_no", F.col("doc_id").alias("good_id"), F.col("text").alias("good"))
     bad = placed.where("quality = 0").select("lang", "pair_no", F.col("doc_id").alias("bad_id"), F.col("text").alias("bad"))
     return good.join(bad, ["lang", "pair_no"])
