@@ -45,8 +45,3 @@ class ChatTemplate:
         first = F.get(completion, 0)
         opening = F.concat(first["content"], self.after(first["role"]))
         return F.concat(opening, self.render(F.slice(completion, 2, F.greatest(F.size(completion) - 1, F.lit(0)))))
-
-
-def as_messages(completion: Column, is_list: bool) -> Column:
-    """A completion as a list: a single message is wrapped."""
-    return completion if is_list else F.array(completion)
