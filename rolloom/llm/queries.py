@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import language_id, mixing, quality, secret_scan, sharding, url_filter
+from rolloom.llm import language_id, mixing, quality, secret_scan, sharding, substring_dedup, url_filter
 from rolloom.llm.texts import word_count
 
 #: The rules that the url query applies.
@@ -74,6 +74,12 @@ def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, "text", model).drop("text")
 
 
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    kept = substring_dedup.remove_repeats(docs, "doc_id", "text", 13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.md5("text").alias("md5"))
@@ -89,6 +95,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_blob_secrets": op4_blob_secrets,
     "op5_language_codes": op5_language_codes,
+    "op7_window_dedup": op7_window_dedup,
     "op8_source_mix": op8_source_mix,
 }
 
