@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import language_id, mixing, quality, secret_scan, sharding, substring_dedup, url_filter
+from rolloom.llm import language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
 from rolloom.llm.texts import word_count
 
 #: The rules that the url query applies.
@@ -89,6 +89,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, "doc_id", "text").drop("digest")
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_alias_urls": op2_alias_urls,
@@ -97,6 +102,7 @@ QUERIES = {
     "op5_language_codes": op5_language_codes,
     "op7_window_dedup": op7_window_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_order_minhash": op9_order_minhash,
 }
 
 #: Nothing here depends on floating sums across rows, so SQL gives the same values.
