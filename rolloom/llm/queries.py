@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
+from rolloom.llm import decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
 from rolloom.llm.texts import word_count
 
 #: The rules that the url query applies.
@@ -94,6 +94,11 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, "doc_id", "text").drop("digest")
 
 
+def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_alias_urls": op2_alias_urls,
@@ -103,6 +108,7 @@ QUERIES = {
     "op7_window_dedup": op7_window_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_order_minhash": op9_order_minhash,
+    "op10_latent_leaks": op10_latent_leaks,
 }
 
 #: Nothing here depends on floating sums across rows, so SQL gives the same values.
