@@ -183,7 +183,7 @@ def remove_repeats(
     that a group holds some 10 MB of text.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = groups or 2 * parts, buckets or 4 * parts
+    groups, buckets = groups or parts, buckets or 2 * parts
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn(
         "grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int")
     )
