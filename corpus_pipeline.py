@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import language_id, mixing, sharding
+from rolloom.llm import decontamination, language_id, mixing, near_dedup, sharding
 from rolloom.llm.texts import word_count
-from rolloom.session import shared_dir
+from rolloom.session import materialize, shared_dir
 
 #: Scores of the best and second language nearer than this reject a document.
 AMBIGUOUS_BELOW = 0.02
@@ -23,6 +23,19 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col("ambiguous")).select(*docs.columns)
 
 
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of exact and near copies."""
+    return near_dedup.keep_one(docs, "doc_id", "text")
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain an item of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    texts = materialize(leaks.select(F.col("digest").alias("_leak")).distinct(), "leaks")
+    return docs.join(texts, F.md5("text") == F.col("_leak"), "left_anti")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or thin out sources to their target weights."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))
@@ -39,6 +52,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("languages", languages),
+    ("distinct_texts", distinct_texts),
+    ("clean_of_benchmark", clean_of_benchmark),
     ("mixture", mixture),
     ("shards", shards),
 ]

@@ -296,10 +296,21 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
 
 
 def keep_one(docs: DataFrame, doc_id: str, text: str, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each class; rows with a null text all stay."""
-    kept = near_duplicates(docs, doc_id, text, similar).where("kept AND digest IS NOT NULL")
-    kept = kept.select(F.col("doc_id").alias("_nd_id"), F.col("digest").alias("_nd_digest")).distinct()
+    """``docs`` with one row of each class of ``near_duplicates``; rows with a null text all stay.
+
+    Of rows with one id and one text, which may differ in other columns, any one stays.
+    """
+    marked = near_duplicates(docs, doc_id, text, similar).where("kept AND digest IS NOT NULL")
+    kept = materialize(marked.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), "kept")
     keyed = docs.withColumn("_nd_key", F.md5(text))
-    same = (F.col("_nd_key") == F.col("_nd_digest")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_nd_id"))
-    one = keyed.join(kept, same, "left_semi").dropDuplicates(["_nd_key"])
-    return one.select(*docs.columns).union(docs.where(F.col(text).isNull()))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select(F.col("doc_id").alias("_nd_id"), F.col("digest").alias("_nd_digest"))
+        same = (F.col("_nd_key") == F.col("_nd_digest")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_nd_id"))
+        return keyed.join(chosen, same, "left_semi")
+
+    one = rows_of(kept.where("rows = 1"))
+    repeated = kept.where("rows > 1")
+    if not repeated.isEmpty():
+        one = one.union(rows_of(repeated).dropDuplicates(["_nd_key"]))
+    return one.drop("_nd_key").union(docs.where(F.col(text).isNull()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
+from rolloom.llm import decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_output, url_filter
 from rolloom.llm.texts import word_count
 
 #: The rules that the url query applies.
@@ -17,6 +17,9 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/fr/"),
 )
 
+#: The tokenizer of the token query: a rank file on every executor, and its free id.
+TOKENIZER = token_output.Tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken", 50256)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,6 +77,11 @@ def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, "text", model).drop("text")
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_output.write_training_order(docs, "doc_id", "text", TOKENIZER)[0]
+
+
 def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     kept = substring_dedup.remove_repeats(docs, "doc_id", "text", 13)
@@ -96,7 +104,7 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    return decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text").drop("digest")
 
 
 QUERIES = {
@@ -105,6 +113,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_blob_secrets": op4_blob_secrets,
     "op5_language_codes": op5_language_codes,
+    "op6_training_order": op6_training_order,
     "op7_window_dedup": op7_window_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_order_minhash": op9_order_minhash,
