@@ -88,10 +88,10 @@ def declared_targets(html: Column, url: Column) -> Column:
     likely = html.rlike(r"(?i)canonical|http-equiv|og:url")
     head = F.substring_index(F.regexp_replace(html, r"(?i)<body", "<body"), "<body", 1)
     tags = F.regexp_extract_all(head, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    value = r"""(?is)\b%s\s*=\s*["']?([^"'>]*)"""
+    value = r"""(?is)\s%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
     def attribute(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, value % name, 1)
+        return F.concat(*[F.regexp_extract(tag, value % name, group) for group in (1, 2, 3)])
 
     def target(tag: Column) -> Column:
         return (
