@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from rolloom.llm.texts import SPACES, Codes, byte_words, covered, window_codes, with_text_columns
+from rolloom.llm.texts import SPACES, WORD, Codes, byte_words, covered, window_codes, with_text_columns
 
 #: A symbol as the last character of a word, or a word of symbols.
 SYMBOLS = "#*$%&|<>"
@@ -16,6 +16,7 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 #: Share of its words that a document may lose with its bad lines.
 MOST_LOST = 0.4
 
+WORDS = re.compile(WORD)
 SENTENCE_END = re.compile(r"[.!?:;…。！？][\"'»”’)\]]*(?:[ \t]|$)")
 SHOUT = re.compile(r"[!?]{1,8}$")
 SYMBOL_END = re.compile(r"[#*$%&<>|]$")
@@ -36,7 +37,7 @@ def line_fault(line: str) -> str | None:
     line of up to 40 words. punctuation: no sentence ends in a line of five words or more, or three
     words in ten or more end with a symbol, or half of four words or more end with ! or ?.
     """
-    words = line.split()
+    words = WORDS.findall(line)
     n = len(words)
     separators = sum(1 for w in words if NAVIGATION.match(w))
     if separators * 5 >= n and separators:
@@ -48,7 +49,7 @@ def line_fault(line: str) -> str | None:
         return "punctuation"
     if rest >= 4 and 2 * sum(1 for w in words if SHOUT.search(w)) >= rest:
         return "punctuation"
-    if rest >= 5 and not SENTENCE_END.search(line.rstrip()):
+    if rest >= 5 and not SENTENCE_END.search(line.rstrip(SPACES)):
         return "punctuation"
     return None
 

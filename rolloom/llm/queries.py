@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm import decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_output, url_filter
+from rolloom.llm.oracles import ORACLES  # noqa: F401
 from rolloom.llm.texts import word_count
 
 #: The rules that the url query applies.
@@ -119,6 +120,3 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_latent_leaks": op10_latent_leaks,
 }
-
-#: Nothing here depends on floating sums across rows, so SQL gives the same values.
-ORACLES: dict[str, str] = {}
