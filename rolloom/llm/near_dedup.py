@@ -207,16 +207,31 @@ def _named(graph: DataFrame, column: str) -> DataFrame:
     return graph.select(F.col("node").alias(column), F.col("component").alias(f"{column}_comp"))
 
 
-def _bridges(pairs: DataFrame, graph: DataFrame) -> bool:
-    """Whether a pair joins two nodes that the graph does not."""
-    named = pairs.join(_named(graph, "lead"), "lead", "left").join(_named(graph, "node"), "node", "left")
-    same = F.coalesce(F.col("lead_comp") == F.col("node_comp"), F.lit(False))
-    return not named.where(~same).isEmpty()
+def _merge(graph: DataFrame | None, linked: DataFrame) -> DataFrame | None:
+    """The graph with the components joined that ``linked`` pairs tie; None if it ties none.
+
+    Only the pairs across components are looked at, as edges between components.
+    """
+    if graph is None:
+        new = linked.select("lead", "node", F.col("lead").alias("a"), F.col("node").alias("b"))
+        graph = new.select("node", F.col("node").alias("component")).limit(0)
+    else:
+        named = linked.join(_named(graph, "lead"), "lead", "left").join(_named(graph, "node"), "node", "left")
+        a, b = F.coalesce("lead_comp", "lead"), F.coalesce("node_comp", "node")
+        new = named.select("lead", "node", a.alias("a"), b.alias("b")).where("a <> b")
+    new = materialize(new, "bridges")
+    if new.isEmpty():
+        return None
+    tied = components(new, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    ends = new.select("lead", "a").union(new.select("node", "b")).toDF("node", "component").distinct()
+    members = graph.union(ends).distinct()
+    joined = members.join(tied, "component", "left")
+    return materialize(joined.select("node", F.coalesce("into", "component").alias("component")), "graph")
 
 
 def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
     """``component`` of each ``node`` that is linked to another, from rows (key, node) of groups."""
-    graph, done = None, None
+    graph, done, rounds = None, None, 0
     while not groups.isEmpty():
         weighed = groups.join(weights, "node")
         heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("head"), F.count("*").alias("size"))
@@ -227,9 +242,12 @@ def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: flo
             pairs = pairs.join(done.select("lead", "node"), ["lead", "node"], "left_anti")
         compared = materialize(_compare(pairs, texts, similar), "compared")
         done = compared if done is None else done.union(compared)
-        if graph is not None and not _bridges(compared.where("linked"), graph):
+        merged = _merge(graph, compared.where("linked"))
+        if merged is None and rounds:
             break
-        graph = materialize(components(done.where("linked"), "lead", "node"), "graph")
+        graph, rounds = merged, rounds + 1
+        if graph is None:
+            graph = compared.select("node", F.col("node").alias("component")).limit(0)
         lead_comp, node_comp = _named(graph, "lead"), _named(graph, "node")
         apart = led.join(lead_comp, "lead", "left").join(node_comp, "node", "left")
         apart = apart.where(~F.coalesce(F.col("lead_comp") == F.col("node_comp"), F.lit(False)))
