@@ -38,8 +38,10 @@ def drop_empty(inv: DataFrame, rollouts: DataFrame, lengths: DataFrame | None =
     ``trace_lengths`` of the unnumbered traces, which saves numbering them twice.
     """
     lengths = trace_lengths(inv) if lengths is None else lengths
-    reached = lengths.groupBy(*EXAMPLE).agg(F.count(F.lit(1)).alias("_reached"))
-    expected = rollouts.groupBy("example_id").agg(F.count(F.lit(1)).alias("_expected"))
+    # Entries of a rollout that is not listed neither help nor harm.
+    listed = lengths.join(rollouts.select(*ROLLOUT[1:]).distinct(), ROLLOUT[1:], "left_semi")
+    reached = listed.groupBy(*EXAMPLE).agg(F.count(F.lit(1)).alias("_reached"))
+    expected = rollouts.select(*ROLLOUT[1:]).distinct().groupBy("example_id").agg(F.count(F.lit(1)).alias("_expected"))
     complete = reached.join(expected, "example_id").where("_reached = _expected").select(*EXAMPLE)
     return inv.join(complete, EXAMPLE, "left_semi")
 
@@ -188,10 +190,10 @@ def format_failures(samples: DataFrame, step: Sequence[str]) -> DataFrame:
 
 
 def prompt_completion(conversations: DataFrame, messages: str = "messages") -> DataFrame:
-    """Split each conversation into all but the last message, and the last."""
+    """Split each conversation into all but the last message, and the last (null if there is none)."""
     m = F.col(messages)
     return conversations.withColumns(
-        {"prompt": F.slice(m, 1, F.size(m) - 1), "completion": F.element_at(m, -1)}
+        {"prompt": F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), "completion": F.try_element_at(m, F.lit(-1))}
     ).drop(messages)
 
 

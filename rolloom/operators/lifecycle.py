@@ -42,8 +42,12 @@ def short_names(df: DataFrame, mapping: Mapping[str, str] = COMPONENT_NAMES) ->
 
 
 def status_changes(df: DataFrame, chunk: Column, job: Sequence[str] = ("job_id",)) -> DataFrame:
-    """Rows whose status differs from the job's previous observation; its first row counts."""
-    seen = previous_value(df, job, ORDER, chunk, F.col("status"), "previous_status")
+    """Rows whose status differs from the job's previous observation; its first row counts.
+
+    A null status is observed as ``unknown``; ``previous_status`` is null in the first row only.
+    """
+    known = df.withColumn("status", F.coalesce("status", F.lit("unknown")))
+    seen = previous_value(known, job, ORDER, chunk, F.col("status"), "previous_status")
     return seen.where(~F.col("status").eqNullSafe(F.col("previous_status")))
 
 

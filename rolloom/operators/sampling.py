@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.plans.ordered import grouped_rank, hash_chunk, seeded_hash
 
+# Slots of an epoch, pads included: a column of every plan.
+WIDTH = "width"
+
 # Chunks of a global rank: their counts are the only rows that meet in one task.
 MAX_CHUNKS = 65536
 
@@ -57,7 +60,7 @@ def repeat_to(df: DataFrame, k: int) -> DataFrame:
 def epoch_plan(
     df: DataFrame, key: str, k: int, epochs: int, seed: int, pad_full_group: bool = True
 ) -> DataFrame:
-    """``epoch, slot, key``: one shuffle per epoch, padded to a multiple of ``k``.
+    """``epoch, slot, key, width``: one shuffle per epoch, padded to ``width``, a multiple of ``k``.
 
     Each pad is the least-used id so far, ties going to the id latest in the
     first shuffle. With n ids, the t-th pad over all epochs is therefore the id
@@ -70,31 +73,31 @@ def epoch_plan(
     full = k if pad_full_group else 0
     per_epoch = ids.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     slots = shuffled(per_epoch, key, seed, ["epoch"], "slot").select("epoch", "slot", key)
-    # The first shuffle again, on its own so that it is not computed from all epochs.
-    first = shuffled(ids.withColumn("epoch", F.lit(0)), key, seed, ["epoch"], "slot").select("slot", key)
-    pads = (
-        first.withColumn("_n", n)
-        .withColumn("_pads", F.expr(f"CASE WHEN {rest} = 0 THEN {full} ELSE {k} - {rest} END"))
-        .where(f"_n - 1 - slot < {epochs} * _pads")
-        .withColumn("_t", F.explode(F.expr(f"sequence(_n - 1 - slot, {epochs} * _pads - 1, _n)")))
-        .select(
-            F.expr("CAST(_t DIV _pads AS INT)").alias("epoch"),
-            F.expr("_n + _t % _pads").alias("slot"),
-            key,
-        )
+    sized = slots.withColumn("_n", n).withColumn(
+        "_pads", F.expr(f"CAST(CASE WHEN {rest} = 0 THEN {full} ELSE {k} - {rest} END AS BIGINT)")
+    )
+    # Besides its own place, an id of the first shuffle may fill pads of any epoch.
+    own = F.array(F.struct(F.col("epoch"), F.col("slot")))
+    pad = F.transform(
+        F.expr(f"sequence(_n - 1 - slot, {epochs} * _pads - 1, _n)"),
+        lambda t: F.struct(F.floor(t / F.col("_pads")).cast("int").alias("epoch"), (F.col("_n") + t % F.col("_pads")).alias("slot")),
+    )
+    padding = (F.col("epoch") == 0) & (F.expr(f"_n - 1 - slot < {epochs} * _pads"))
+    placed = F.when(padding, F.concat(own, pad)).otherwise(own)
+    return (
+        sized.withColumn("_at", F.explode(placed))
+        .select("_at.epoch", "_at.slot", key, (F.col("_n") + F.col("_pads")).alias(WIDTH))
     )
-    return slots.unionByName(pads)
 
 
-def select_steps(plan: DataFrame, k: int, steps: int) -> DataFrame:
-    """Add ``step`` and ``place`` in the step to an epoch plan; keep the first ``steps`` steps."""
-    width = plan.agg((F.max("slot") + 1).alias("w")).scalar()
-    return (
-        plan.withColumn("_at", F.col("epoch") * width + F.col("slot"))
+def select_steps(plan: DataFrame, k: int, steps: int | None = None) -> DataFrame:
+    """Add ``step`` and ``place`` in the step to an epoch plan; keep the first ``steps`` steps, or all."""
+    placed = (
+        plan.withColumn("_at", F.col("epoch") * F.col(WIDTH) + F.col("slot"))
         .withColumns({"step": F.expr(f"_at DIV {k}"), "place": F.expr(f"_at % {k}")})
-        .where(F.col("step") < steps)
-        .drop("_at")
+        .drop("_at", WIDTH)
     )
+    return placed if steps is None else placed.where(F.col("step") < steps)
 
 
 def fan_out(step_rows: DataFrame, teachers: int, rollouts: int, k: int) -> DataFrame:
@@ -115,18 +118,27 @@ def fan_out(step_rows: DataFrame, teachers: int, rollouts: int, k: int) -> DataF
 
 
 def shard(
-    df: DataFrame, batch: Sequence[str], idx: str, world: int, chunks: int, seed: int
+    df: DataFrame, batch: Sequence[str], idx: str, world: int, chunks: int, seed: int, bounded: bool = False
 ) -> DataFrame:
     """Assign rows of a batch to ranks and micro-batches.
 
     Rank r takes the r-th slice of ceil(total/world) consecutive rows (``idx`` is
     0-based). Within a rank a seeded permutation is cut into ``chunks`` parts of
     floor(size/chunks) rows; the rows left over belong to none and are dropped.
+    ``bounded=True`` asserts that the size of the batches has been checked: then
+    plain windows do, with one shuffle on the batch.
     """
-    totals = df.groupBy(*batch).agg(F.count(F.lit(1)).alias("_total"))
     per_rank = F.ceil(F.col("_total") / world)
-    ranked = df.join(totals, list(batch)).withColumn("rank", F.floor(F.col(idx) / per_rank))
-    placed = shuffled(ranked, idx, seed, [*batch, "rank"], "_place")
+    rank = F.floor(F.col(idx) / per_rank)
+    if bounded:
+        total = F.count(F.lit(1)).over(Window.partitionBy(*batch))
+        ranked = df.withColumn("_total", total).withColumn("rank", rank)
+        order = Window.partitionBy(*batch, "rank").orderBy(seeded_hash(seed, *batch, "rank", idx), idx)
+        placed = ranked.withColumn("_place", F.row_number().over(order) - 1)
+    else:
+        totals = df.groupBy(*batch).agg(F.count(F.lit(1)).alias("_total"))
+        ranked = df.join(totals, list(batch)).withColumn("rank", rank)
+        placed = shuffled(ranked, idx, seed, [*batch, "rank"], "_place")
     in_rank = F.least(F.col("_total") - F.col("rank") * per_rank, per_rank)
     return (
         placed.withColumn("_size", F.floor(in_rank / chunks))

@@ -82,13 +82,18 @@ def tokenize(
     )
 
 
-def tokenize_with(df: DataFrame, text: str, encode: Callable[[str], list[int]], name: str = "ids") -> DataFrame:
-    """Token ids from a caller's tokenizer, run on Arrow batches inside the tasks."""
+def tokenize_with(
+    df: DataFrame, text: str, encode: Callable[[list[str]], list[list[int]]], name: str = "ids"
+) -> DataFrame:
+    """Token ids from a caller's tokenizer, called once for each Arrow batch; a null text has none."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(encode)
+            ids = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            present = batch.dropna()
+            ids[present.index] = pd.Series(encode(present.tolist()), index=present.index, dtype=object)
+            yield ids
 
     return df.withColumn(name, run(text))
 

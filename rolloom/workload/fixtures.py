@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rolloom.operators.grouping import invocations
 from rolloom.plans.ordered import grouped_rank, step_chunk, time_chunk
@@ -28,7 +27,7 @@ def user_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight consecutive events of a user form a rollout group; short last groups are left out."""
+    """Eight consecutive events of a user form a rollout group; the last one may be shorter."""
     format_reward = F.when(F.col("k") % 3 == 0, 0.0).when(F.col("k") % 3 == 2, -0.5)
     numbered = user_events(spark, sf_dir, "event_type", "value").select(
         "user_id",
@@ -38,19 +37,13 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
     )
-    # The window's groups hold at most GROUP_SIZE rows by construction.
-    return (
-        numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*GROUP)))
-        .where(F.col("_n") == GROUP_SIZE)
-        .drop("_n")
-        .withColumns(
-            {
-                "reward": F.col("value") - 50,
-                "length": F.col("k"),
-                "failed": F.col("event_type") == "error",
-                "format_reward": format_reward,
-            }
-        )
+    return numbered.withColumns(
+        {
+            "reward": F.col("value") - 50,
+            "length": F.col("k"),
+            "failed": F.col("event_type") == "error",
+            "format_reward": format_reward,
+        }
     )
 
 
@@ -147,13 +140,28 @@ DPO_DEFECTS = {
 
 
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The i-th good document of a language against its i-th bad one, in id order."""
+    """Good documents of a language against bad ones, in id order; the fewer ones come again and again.
+
+    Pair i holds the documents at place i of either side, counted round, so all of a language's labelled
+    documents occur if it has both kinds.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     marked = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
     placed = grouped_rank(marked, ["lang", "quality"], ["doc_id"], step_chunk("doc_id"), "pair_no")
-    good = placed.where("quality = 1").select("lang", "pair_no", F.col("doc_id").alias("good_id"), F.col("text").alias("good"))
-    bad = placed.where("quality = 0").select("lang", "pair_no", F.col("doc_id").alias("bad_id"), F.col("text").alias("bad"))
-    return good.join(bad, ["lang", "pair_no"])
+    sizes = marked.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("n1"), F.count_if(F.col("quality") == 0).alias("n0"))
+    longer = F.greatest("n1", "n0")
+
+    def side(quality: int, id_name: str, text_name: str) -> DataFrame:
+        own = F.col(f"n{quality}")
+        chosen = placed.where(F.col("quality") == quality).join(sizes.where("n1 > 0 AND n0 > 0"), "lang")
+        return chosen.select(
+            "lang",
+            F.explode(F.sequence(F.col("pair_no").cast("long"), longer, own)).alias("pair_no"),
+            F.col("doc_id").alias(id_name),
+            F.col("text").alias(text_name),
+        )
+
+    return side(1, "good_id", "good").join(side(0, "bad_id", "bad"), ["lang", "pair_no"])
 
 
 def dpo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +324,7 @@ SQL = {
             SELECT user_id, r // 8 AS group_no, r % 8 AS k, event_id, event_type, value, value - 50 AS reward,
                    r % 8 AS length, event_type = 'error' AS failed,
                    CASE r % 8 % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 2 THEN -0.5::DOUBLE END AS format_reward
-            FROM numbered QUALIFY count(*) OVER (PARTITION BY user_id, r // 8) = 8)""",
+            FROM numbered)""",
     "inv": f"""
         inv AS (
             SELECT l_returnflag AS predictor, l_orderkey // 4 AS example_id, l_orderkey % 4 // 2 AS teacher_id,
@@ -348,9 +356,12 @@ SQL = {
         placed AS (
             SELECT lang, quality, d.doc_id, text, row_number() OVER (PARTITION BY lang, quality ORDER BY d.doc_id) AS pair_no
             FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+        sides AS (SELECT lang, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0 FROM placed GROUP BY 1),
         pairs_dpo AS (
-            SELECT g.lang, g.pair_no, g.doc_id AS good_id, g.text AS good, b.doc_id AS bad_id, b.text AS bad
-            FROM placed g JOIN placed b ON g.lang = b.lang AND g.pair_no = b.pair_no AND g.quality = 1 AND b.quality = 0),
+            SELECT s.lang, i.pair_no, g.doc_id AS good_id, g.text AS good, b.doc_id AS bad_id, b.text AS bad
+            FROM sides s, unnest(generate_series(1, greatest(n1, n0))) i(pair_no)
+            JOIN placed g ON g.lang = s.lang AND g.quality = 1 AND g.pair_no = (i.pair_no - 1) % n1 + 1
+            JOIN placed b ON b.lang = s.lang AND b.quality = 0 AND b.pair_no = (i.pair_no - 1) % n0 + 1),
         dpo_all AS (
             SELECT 'pairs-' || lang AS file, pair_no AS line_no, good_id, bad_id,
                    {_case("good_id % 11", DPO_DEFECTS, '''to_json({'input': {'messages': [{'role': 'user', 'content': 'document ' || good_id}],

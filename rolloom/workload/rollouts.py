@@ -53,8 +53,11 @@ def group_advantages(spark, d):
     + f""", scored AS (
         SELECT *, CASE WHEN NOT failed THEN reward WHEN format_reward IS NULL OR format_reward = 0 THEN {FAILURE} ELSE format_reward END AS score
         FROM rollouts),
+      padded AS (
+        SELECT s.* REPLACE (u.slot AS k) FROM (SELECT *, count(*) OVER (PARTITION BY user_id, group_no) AS n FROM scored) s,
+          unnest(generate_series(0, 7)) u(slot) WHERE u.slot % n = k),
       shaped AS (
-        SELECT *, CASE WHEN length > 3 AND score > 0 THEN score * (1 - (length - 3) / 3.0::DOUBLE) ELSE score END AS final FROM scored),
+        SELECT *, CASE WHEN length > 3 AND score > 0 THEN score * (1 - (length - 3) / 3.0::DOUBLE) ELSE score END AS final FROM padded),
       advantaged AS (
         SELECT *, (final - avg(final) OVER g) / (stddev_samp(final) OVER g + 0.0001) AS advantage, group_no * 8 + k AS idx,
                count(*) OVER (PARTITION BY user_id) AS total
@@ -68,11 +71,11 @@ def group_advantages(spark, d):
       FROM placed WHERE place < size * 4""",
 )
 def training_batches(spark, d):
-    """What a trainer gets: failure scores, penalty, advantages, then ranks and micro-batches."""
+    """What a trainer gets: failure scores, groups filled up, penalty, advantages, ranks and micro-batches."""
     score = g.shaped_score(F.col("failed"), F.col("format_reward"), F.col("reward"), FAILURE)
+    full = g.pad_groups(fx.rollouts(spark, d), fx.GROUP, fx.GROUP_SIZE, member="k", bounded=True)
     shaped = (
-        fx.rollouts(spark, d)
-        .withColumn("reward", score)
+        full.withColumn("reward", score)
         .withColumn("reward", rw.soft_penalty(F.col("reward"), F.col("length"), 3, 6))
     )
     scored = rw.advantages(shaped, fx.GROUP, scale=True, bounded=True)
@@ -159,8 +162,7 @@ _EXPECTED_TRACES = """
 def trace_issues(spark, d):
     """A third teacher without rollouts, empty traces, and a predictor nobody declared."""
     rollouts = fx.trace_rollouts(spark, d)
-    lines = fx.table(spark, d, "lineitem")
-    predictors = lines.where("l_returnflag IN ('A', 'N')").select(F.col("l_returnflag").alias("predictor")).distinct()
+    predictors = spark.createDataFrame([("A",), ("N",)], "predictor string")
     return check_traces(
         rollouts, fx.traces(spark, d), rollouts.select("example_id").distinct(), [0, 1, 2], predictors, 2
     )
@@ -344,12 +346,12 @@ def format_failure_counts(spark, d):
 @query(
     "predictor_union",
     _KEPT
-    + """SELECT CASE predictor WHEN 'N' THEN 0 ELSE 1 END AS predictor_no, predictor, example_id, inv_idx, count(*) AS size
-      FROM kept WHERE predictor IN ('N', 'A') GROUP BY ALL""",
+    + """SELECT CASE predictor WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS predictor_no, predictor, example_id, inv_idx,
+           count(*) AS size FROM kept GROUP BY ALL""",
 )
 def predictor_union(spark, d):
     inv = _complete(spark, d)
-    merged = g.union_groups([inv.where("predictor = 'N'"), inv.where("predictor = 'A'")])
+    merged = g.union_groups([inv.where(F.col("predictor") == name) for name in ("N", "A", "R")])
     return merged.groupBy("predictor_no", *g.GROUP).agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -395,26 +397,27 @@ def _plan(spark, d):
 
 @query("epoch_plan", _EPOCHS + " SELECT epoch, slot, c_custkey FROM plan")
 def epoch_plan(spark, d):
-    return _plan(spark, d)
+    return _plan(spark, d).drop(sp.WIDTH)
 
 
 _STEPS = _EPOCHS + """, steps AS (
     SELECT c_custkey, epoch, slot, (epoch * (n + p) + slot) // 7 AS step, (epoch * (n + p) + slot) % 7 AS place FROM plan, n)"""
 
 
-@query("step_examples", _STEPS + " SELECT * FROM steps WHERE step < 300")
+@query("step_examples", _STEPS + " SELECT * FROM steps")
 def step_examples(spark, d):
-    return sp.select_steps(_plan(spark, d), 7, 300)
+    """All steps of the plan."""
+    return sp.select_steps(_plan(spark, d), 7)
 
 
 @query(
     "rollout_fan_out",
     _STEPS
     + """ SELECT step, c_custkey, t.teacher_id, s.sample, s.sample * 7 + place AS task, place AS example_ind
-      FROM steps, unnest(generate_series(0, 1)) t(teacher_id), unnest(generate_series(0, 2)) s(sample) WHERE step < 50""",
+      FROM steps, unnest(generate_series(0, 1)) t(teacher_id), unnest(generate_series(0, 2)) s(sample)""",
 )
 def rollout_fan_out(spark, d):
-    steps = sp.select_steps(_plan(spark, d), 7, 50)
+    steps = sp.select_steps(_plan(spark, d), 7)
     return sp.fan_out(steps, 2, 6, 7).select("step", "c_custkey", "teacher_id", "sample", "task", "example_ind")
 
 

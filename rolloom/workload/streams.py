@@ -23,6 +23,9 @@ from rolloom.workload.lifecycle import LEDGER_SQL, LIMIT, _RECENT
 
 QUERIES, ORACLES = {}, {}
 
+# Id of the events that close a stream.
+CLOSING = -1
+
 # The month of events in three slices.
 SLICES = ("2024-01-11", "2024-01-21", "9999-01-01")
 
@@ -72,9 +75,14 @@ def _feed(rows: DataFrame, label: str, stream: Callable[[DataFrame], DataFrame],
 )
 def streaming_batch_ledger(spark, d):
     """The last ledger of every job after all slices."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
     rows = fx.batch_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    output = _feed(rows, "ledger", lambda events: batch_ledger_stream(events, LIMIT), "update")
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        output = _feed(rows, "ledger", lambda events: batch_ledger_stream(events, LIMIT), "update")
+    finally:
+        spark.conf.set(setting, before)
     last = (
         spark.read.parquet(output)
         .groupBy("job_id")
@@ -92,13 +100,23 @@ def streaming_batch_ledger(spark, d):
 @query(
     "streaming_overdue_requests",
     with_sql("batch_events")
-    + """SELECT job_id, batch_id, event_id FROM be r WHERE kind = 'request' AND ts < TIMESTAMP '2024-01-25' AND NOT EXISTS (
+    + """SELECT job_id, batch_id, event_id FROM be r WHERE kind = 'request' AND NOT EXISTS (
            SELECT 1 FROM be s WHERE s.kind = 'submit' AND s.job_id = r.job_id AND s.batch_id = r.batch_id
              AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 1 DAY)""",
 )
 def streaming_overdue_requests(spark, d):
-    """Requests before 25 January that were not answered within a day."""
+    """Requests that were not answered within a day; a closing pair of events settles the last ones."""
     rows = fx.batch_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    closing = end.select(
+        F.lit(CLOSING).cast(rows.schema["job_id"].dataType).alias("job_id"),
+        F.lit(CLOSING).cast(rows.schema["batch_id"].dataType).alias("batch_id"),
+        F.explode(F.array(F.lit("request"), F.lit("submit"))).alias("kind"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+        F.lit(CLOSING).cast(rows.schema["event_id"].dataType).alias("event_id"),
+        F.lit(0.0).alias("generation_time"),
+    )
+    rows = rows.unionByName(closing)
 
     def stream(events: DataFrame) -> DataFrame:
         columns = ["job_id", "batch_id", "ts", "event_id"]
@@ -107,7 +125,7 @@ def streaming_overdue_requests(spark, d):
         return overdue_stream(requests, submits, "1 DAY", "1 hour")
 
     found = spark.read.parquet(_feed(rows, "overdue", stream, "append"))
-    return found.where(F.col("requested_at") < F.lit("2024-01-25")).select("job_id", "batch_id", "event_id")
+    return found.where(F.col("job_id") != CLOSING).select("job_id", "batch_id", "event_id")
 
 
 @query(

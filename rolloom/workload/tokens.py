@@ -34,9 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _split(spark, d):
-    """Conversations of at least two messages as prompt and completion, eight to a batch."""
-    chats = fx.chats(spark, d).where(F.size("messages") > 1)
-    split = prompt_completion(chats).withColumn("completion", F.array("completion"))
+    """Conversations as prompt and completion, eight to a batch; one message has an empty prompt."""
+    split = prompt_completion(fx.chats(spark, d)).withColumn("completion", F.array("completion"))
     return split.withColumn("batch_no", F.expr("conv_id DIV 8"))
 
 
@@ -50,7 +49,7 @@ _CHAT = f"""
         SELECT conv_id, conv_id // 8 AS batch_no,
                string_agg(CASE WHEN i < n THEN {_PREFIX} || text || {_SUFFIX} ELSE {_PREFIX} END, '' ORDER BY i) AS prompt_text,
                string_agg(CASE WHEN i = n THEN text || {_SUFFIX} END, '' ORDER BY i) AS completion_text
-        FROM numbered WHERE n > 1 GROUP BY conv_id)"""
+        FROM numbered GROUP BY conv_id)"""
 
 _TOKENS = _CHAT + r""",
     tokens AS (
@@ -186,7 +185,7 @@ _FIT = """, joined AS (
     wide AS (
       SELECT conv_id, list_concat(input_ids, list_transform(range(w - len(input_ids)), lambda x: 0::BIGINT)) AS input_ids,
              list_concat(attention_mask, list_transform(range(w - len(attention_mask)), lambda x: 0)) AS attention_mask, w
-      FROM (SELECT *, max(len(input_ids)) OVER () AS w FROM joined))"""
+      FROM (SELECT *, max(len(input_ids)) OVER (PARTITION BY conv_id // 8) AS w FROM joined))"""
 
 
 @query(
@@ -196,8 +195,8 @@ _FIT = """, joined AS (
              array_to_string(CASE WHEN w > {MAX_SEQ_LEN} THEN attention_mask[w - {MAX_SEQ_LEN} + 1:] ELSE attention_mask END, ' ') AS attention_mask FROM wide""",
 )
 def assembled_sequences(spark, d):
-    """Padded pairs of all batches brought to one width of at most MAX_SEQ_LEN."""
-    return tk.assemble(_padded(spark, d), [], PAD, MAX_SEQ_LEN).select("conv_id", _text("input_ids"), _text("attention_mask"))
+    """Padded pairs, as wide as the batch needs and MAX_SEQ_LEN allows."""
+    return tk.assemble(_padded(spark, d), BATCH, PAD, MAX_SEQ_LEN).select("conv_id", _text("input_ids"), _text("attention_mask"))
 
 
 def _masked(spark, d):
@@ -310,13 +309,25 @@ def evaluation_scores(spark, d):
     return rw.evaluate(_predicted(spark, d), metric, -0.25, ["split"]).withColumn("score", F.round("score", 6))
 
 
+def _allowed(spark):
+    return spark.createDataFrame([("refund",), ("lost_card",), ("top_up_failed",)], "label string")
+
+
 @query(
     "decoded_labels",
     _LABELLED + " SELECT vec_id, label FROM labelled WHERE label IN ('refund', 'lost_card', 'top_up_failed') ORDER BY vec_id LIMIT 100",
 )
 def decoded_labels(spark, d):
-    allowed = fx.table(spark, d, "embeddings").select(F.explode(F.array(*map(F.lit, ("refund", "lost_card", "top_up_failed")))).alias("label")).distinct()
-    return rt.decode_labels(fx.labelled(spark, d), fx.LABEL_NAMES, allowed, ["vec_id"], 100)
+    """The first hundred of three labels: the limit is the operator's parameter."""
+    return rt.decode_labels(fx.labelled(spark, d), fx.LABEL_NAMES, _allowed(spark), ["vec_id"], 100)
+
+
+@query(
+    "all_decoded_labels",
+    _LABELLED + " SELECT vec_id, label FROM labelled WHERE label IN ('refund', 'lost_card', 'top_up_failed')",
+)
+def all_decoded_labels(spark, d):
+    return rt.decode_labels(fx.labelled(spark, d), fx.LABEL_NAMES, _allowed(spark), ["vec_id"], None)
 
 
 @query(
@@ -368,7 +379,7 @@ def corpus_entries(spark, d):
 
 _BM25 = rf"""
     WITH corpus AS (SELECT doc_id, source || ' ' || (doc_id // 2) AS title, text AS body, {_ENTRY} AS entry FROM documents),
-    doc_terms AS (SELECT doc_id, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS t FROM corpus),
+    doc_terms AS (SELECT doc_id, regexp_extract_all(lower(entry), '[\p{{L}}\p{{N}}]+') AS t FROM corpus),
     totals AS (SELECT count(*) AS n, avg(len(t)) AS avglen FROM doc_terms),
     tf AS (SELECT doc_id, len(t) AS dl, u.term, count(*) AS tf FROM doc_terms, unnest(t) u(term) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -378,11 +389,11 @@ _BM25 = rf"""
       SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avglen))), 6) AS score
       FROM q JOIN tf USING (term) JOIN df USING (term), totals GROUP BY 1, 2),
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),
-    hits AS (SELECT query_id, doc_id, score, rank FROM best JOIN corpus USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY rank) = 1)"""
+    hits AS (SELECT query_id, doc_id, score, rank FROM best JOIN corpus USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, entry ORDER BY rank) = 1)"""
 
 
 def _hits(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    docs = _corpus(spark, d).select("doc_id", "text")
     queries = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rt.bm25_topk(docs, queries, 5)
 

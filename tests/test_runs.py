@@ -46,7 +46,7 @@ def test_tokenize_with_few_hot_rows_and_empty_texts(rows):
 
 def test_caller_tokenizer(rows):
     df = rows("text string", [("ab",), ("",)])
-    assert [r.ids for r in tk.tokenize_with(df, "text", lambda t: [ord(c) for c in t]).collect()] == [[97, 98], []]
+    assert [r.ids for r in tk.tokenize_with(df, "text", lambda texts: [[ord(c) for c in t] for t in texts]).collect()] == [[97, 98], []]
 
 
 def test_padding_and_tail_cut(rows):
