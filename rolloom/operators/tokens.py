@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +98,11 @@ def tokenize_with(
     return df.withColumn(name, run(text))
 
 
-def _with_group_max(df: DataFrame, group: Sequence[str], value: Column, name: str) -> DataFrame:
+def _with_group_max(
+    df: DataFrame, group: Sequence[str], value: Column, name: str, bounded: bool = False
+) -> DataFrame:
+    if bounded:
+        return df.withColumn(name, F.max(value).over(Window.partitionBy(*group)))
     widest = df.groupBy(*group).agg(F.max(value).alias(name))
     return df.join(widest, list(group)) if group else df.withColumn(name, widest.scalar())
 
@@ -107,9 +111,14 @@ def _repeat(value: int, times: Column) -> Column:
     return F.array_repeat(F.lit(value), times.cast("int"))
 
 
-def pad_left(df: DataFrame, group: Sequence[str], ids: str, pad_id: int, mask: str) -> DataFrame:
-    """Pad ``ids`` on the left to the group's longest; ``mask`` is 0 on pads, else 1."""
-    wide = _with_group_max(df, group, F.size(ids), "_width")
+def pad_left(
+    df: DataFrame, group: Sequence[str], ids: str, pad_id: int, mask: str, bounded: bool = False
+) -> DataFrame:
+    """Pad ``ids`` on the left to the group's longest; ``mask`` is 0 on pads, else 1.
+
+    ``bounded=True`` asserts that group sizes have been checked, so that a plain window does.
+    """
+    wide = _with_group_max(df, group, F.size(ids), "_width", bounded)
     gap = F.col("_width") - F.size(ids)
     return wide.withColumns(
         {
@@ -119,9 +128,11 @@ def pad_left(df: DataFrame, group: Sequence[str], ids: str, pad_id: int, mask: s
     ).drop("_width")
 
 
-def pad_right(df: DataFrame, group: Sequence[str], ids: str, pad_id: int, mask: str) -> DataFrame:
-    """Pad ``ids`` on the right to the group's longest; ``mask`` is 0 on pads, else 1."""
-    wide = _with_group_max(df, group, F.size(ids), "_width")
+def pad_right(
+    df: DataFrame, group: Sequence[str], ids: str, pad_id: int, mask: str, bounded: bool = False
+) -> DataFrame:
+    """Pad ``ids`` on the right to the group's longest; ``mask`` and ``bounded`` as in ``pad_left``."""
+    wide = _with_group_max(df, group, F.size(ids), "_width", bounded)
     gap = F.col("_width") - F.size(ids)
     return wide.withColumns(
         {

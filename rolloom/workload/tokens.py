@@ -10,6 +10,7 @@ from rolloom.operators import metrics as mt
 from rolloom.operators import retrieval as rt
 from rolloom.operators import rewards as rw
 from rolloom.operators import tokens as tk
+from rolloom.operators.batches import processed_batches as processed
 from rolloom.operators.grouping import assistant_turns, prompt_completion
 from rolloom.session import materialize
 from rolloom.workload import fixtures as fx
@@ -91,10 +92,10 @@ def _text(column: str):
 
 @query(
     "prompt_completion_split",
-    """SELECT conv_id, string_agg(text, '|' ORDER BY turn) FILTER (WHERE i < n) AS prompt, max(text) FILTER (WHERE i = n) AS completion,
+    """SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (WHERE i < n), '') AS prompt, max(text) FILTER (WHERE i = n) AS completion,
          max(role) FILTER (WHERE i = n) AS role
        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-       WHERE n > 1 GROUP BY conv_id""",
+       GROUP BY conv_id""",
 )
 def prompt_completion_split(spark, d):
     return _split(spark, d).select(
@@ -259,6 +260,40 @@ def terminated_completions(spark, d):
     )
 
 
+_SOFT, _MAXIMUM = 100, 300
+
+
+@query(
+    "processed_batches",
+    _CHAT
+    + f""", sized AS (
+        SELECT conv_id, batch_no, conv_id % 7 - 2.0::DOUBLE AS reward, length(coalesce(prompt_text, '')) AS p, length(completion_text) AS c,
+               count(*) OVER w AS n, max(length(coalesce(prompt_text, ''))) OVER w AS pw, max(length(completion_text)) OVER w AS cw
+        FROM rendered WINDOW w AS (PARTITION BY batch_no))
+      SELECT conv_id, p AS prompt_tokens, pw AS prompt_width, cw AS completion_width, c::INTEGER AS completion_length,
+             round(CASE WHEN c > {_SOFT} AND reward > 0 THEN reward * (1 - (c - {_SOFT}) / {_MAXIMUM - _SOFT}.0::DOUBLE) ELSE reward END, 6) AS reward,
+             pw > 400 AS prompt_too_long, cw > 200 AS completion_too_long,
+             CASE WHEN n < 8 THEN 'under' WHEN n > 8 THEN 'over' ELSE 'ok' END AS size_status
+      FROM sized""",
+)
+def processed_batches(spark, d):
+    """Eight conversations make a group; the caller's tokenizer gives a code point per character."""
+    samples = _split(spark, d).withColumn("reward", F.col("conv_id") % 7 - F.lit(2.0))
+    encode = lambda texts: [[ord(c) for c in t] for t in texts]
+    made = processed(samples, BATCH, 8, TEMPLATE, encode, PAD, _SOFT, _MAXIMUM, 400, 200)
+    return made.select(
+        "conv_id",
+        tk.mask_sum("prompt_mask").cast("bigint").alias("prompt_tokens"),
+        F.size("prompt_ids").cast("bigint").alias("prompt_width"),
+        F.size("completion_ids").cast("bigint").alias("completion_width"),
+        "completion_length",
+        F.round("reward", 6).alias("reward"),
+        "prompt_too_long",
+        "completion_too_long",
+        "size_status",
+    )
+
+
 # --- text metrics and evaluation ----------------------------------------------------
 
 
