@@ -34,6 +34,17 @@ def test_rollout_without_invocations_drops_the_example(rows):
     assert g.drop_empty(trace(rows, [2, 1, 1]), rollouts(rows, 3)).count() == 4
 
 
+def test_entries_of_an_unlisted_rollout_do_not_complete_an_example(rows):
+    inv = trace(rows, [1, 0, 0, 0, 0, 0, 0, 0, 0, 1])  # rollouts 0 and 9; listed are 0 and 1
+    assert g.drop_empty(inv, rollouts(rows, 2)).count() == 0
+
+
+def test_prompt_and_completion_of_short_conversations(rows):
+    df = rows("id int, messages array<string>", [(0, []), (1, ["a"]), (2, ["a", "b", "c"])])
+    got = {r.id: (r.prompt, r.completion) for r in g.prompt_completion(df).collect()}
+    assert got == {0: ([], None), 1: ([], "a"), 2: (["a", "b"], "c")}
+
+
 def test_truncate(rows):
     assert members(g.to_groups(g.align(trace(rows, [3, 1, 2]), "truncate"))) == [["0.0", "1.0", "2.0"]]
 

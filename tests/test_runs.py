@@ -45,8 +45,26 @@ def test_tokenize_with_few_hot_rows_and_empty_texts(rows):
 
 
 def test_caller_tokenizer(rows):
-    df = rows("text string", [("ab",), ("",)])
-    assert [r.ids for r in tk.tokenize_with(df, "text", lambda texts: [[ord(c) for c in t] for t in texts]).collect()] == [[97, 98], []]
+    df = rows("text string", [("ab",), ("",), (None,)])
+    encode = lambda texts: [[ord(c) for c in t] for t in texts]
+    assert [r.ids for r in tk.tokenize_with(df, "text", encode).collect()] == [[97, 98], [], None]
+
+
+def test_processed_batches(rows):
+    from rolloom.operators.batches import processed_batches
+
+    message = "array<struct<role:string,content:string>>"
+    ask = lambda text: [("user", text)] if text else []
+    data = [(1, ask("q"), [("assistant", "long answer")], 1.0), (1, [], [("assistant", "x")], 1.0), (2, ask("q"), [("assistant", "long answer")], -1.0)]
+    df = rows(f"grp int, prompt {message}, completion {message}, reward double", data)
+    encode = lambda texts: [[ord(c) for c in t] for t in texts]
+    got = processed_batches(df, ["grp"], 2, ChatTemplate(), encode, 0, 10, 30, None, 15).orderBy("grp", "completion_length").collect()
+    short, long, alone = got
+    assert [r.size_status for r in got] == ["ok", "ok", "under"]
+    assert len(short.completion_ids) == len(long.completion_ids) == long.completion_length > short.completion_length
+    assert len(short.prompt_ids) == len(long.prompt_ids) and sum(short.prompt_mask) < sum(long.prompt_mask)
+    assert long.reward == pytest.approx(1 - (long.completion_length - 10) / 20) and short.reward == 1.0 and alone.reward == -1.0
+    assert long.completion_too_long and not long.prompt_too_long
 
 
 def test_padding_and_tail_cut(rows):
@@ -223,6 +241,9 @@ def test_overdue_and_status(rows):
     assert [r.batch_id for r in lc.overdue(events, 10, F.lit(at(100))).collect()] == [2]
     seen = rows("job_id int, ts int, event_id int, status string", [(0, 1, 1, "a"), (0, 2, 2, "a"), (0, 3, 3, "b"), (0, 4, 4, None), (0, 5, 5, None), (1, 1, 6, "a")])
     assert sorted(r.event_id for r in lc.status_changes(seen, F.expr("ts DIV 2")).collect()) == [1, 3, 4, 6]
+    first = rows("job_id int, ts int, event_id int, status string", [(0, 1, 1, None), (0, 2, 2, None), (0, 3, 3, "unknown"), (0, 4, 4, "a")])
+    changes = lc.status_changes(first, F.expr("ts DIV 2")).orderBy("event_id").collect()
+    assert [(r.event_id, r.status, r.previous_status) for r in changes] == [(1, "unknown", None), (4, "a", "unknown")]
     assert lc.queue_limit() == 4 and lc.queue_limit(None, 5) == 10 and lc.queue_limit(3, 5) == 3
 
 
