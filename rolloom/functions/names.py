@@ -78,6 +78,7 @@ def level_name(level: Column) -> Column:
 
 def is_noise(line: Column) -> Column:
     """Progress bars, request lines and speed lines."""
+    # The marker texts.
     return (
         line.contains("it/s")
         | line.contains("Adding requests:")

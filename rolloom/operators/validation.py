@@ -93,6 +93,7 @@ def _message_failure(messages: Column, not_object: str, missing: str, not_text:
     return F.get(failures, 0)
 
 
+# The messages of the failures below.
 def sft_failure(parsed: Column) -> Column:
     """Why a line is not a valid chat record; null if it is one."""
     messages = field(parsed, "$.messages")

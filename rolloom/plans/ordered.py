@@ -39,7 +39,12 @@ def step_chunk(column: Column | str, size: int = 65536) -> Column:
 
 
 def time_chunk(column: Column | str, unit: str = "minute") -> Column:
-    """Chunk for a time order. A fine unit costs little: it only adds rows to the chunk table."""
+    """Chunk for a time order.
+
+    The chunk table has a row for each key and unit that occur: a unit so fine that most chunks hold one row
+    makes it as large as the data, and costs a second full shuffle. One so coarse that a hot key's
+    chunk doesn't fit a task is worse. Pass the coarsest unit that bounds the rows of a key.
+    """
     return F.date_trunc(unit, column)
 
 

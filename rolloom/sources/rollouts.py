@@ -1,4 +1,4 @@
-"""Reading step requests into rollout samples."""
+"""Step requests: reading them into rollout samples, and writing samples as requests."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.variant import field, is_array
+from rolloom.operators.grouping import nest_groups
 from rolloom.operators.validation import MESSAGES
 
 _MESSAGE = "struct<role:string,content:string>"
@@ -52,3 +53,24 @@ def request_metrics(df: DataFrame, keys: Sequence[str], request: str = "request"
     """The metrics map of each request that has one."""
     metrics = F.try_variant_get(F.col(request), "$.metrics", "map<string,double>")
     return df.select(*keys, metrics.alias("metrics")).where("metrics IS NOT NULL")
+
+
+def step_requests(
+    samples: DataFrame, group: Sequence[str], size: int, metrics: DataFrame | None = None
+) -> DataFrame:
+    """``group`` and ``request``, the JSON text that ``request_samples`` reads: one request per group.
+
+    ``samples`` has ``member`` (from 0), ``messages``, ``completion`` (lists of messages) and ``reward``; a null
+    reward is left out. A group of more than ``size`` samples fails. ``metrics`` is (``group``, ``metrics``), a
+    map of numbers for the groups that have some.
+    """
+    nested = nest_groups(samples, group, size, ["messages", "completion", "reward"])
+    batch = F.transform(
+        "samples",
+        lambda s: F.struct(s["messages"].alias("messages"), s["completion"].alias("completion"), s["reward"].alias("reward")),
+    )
+    entries = [batch.alias("batch")]
+    if metrics is not None:
+        nested = nested.join(metrics.select(*group, "metrics"), list(group), "left")
+        entries.append(F.col("metrics"))
+    return nested.select(*group, F.to_json(F.struct(*entries)).alias("request"))

@@ -9,7 +9,7 @@ from rolloom.operators import validation as v
 from rolloom.session import scratch_path
 from rolloom.sources.jsonl import file_catalog, parse_lines, scan_jsonl, write_training_file
 from rolloom.sources.logs import read_job_logs, write_job_logs
-from rolloom.sources.rollouts import read_rollout_groups, request_metrics, request_samples
+from rolloom.sources.rollouts import read_rollout_groups, request_metrics, request_samples, step_requests
 from rolloom.workload import fixtures as fx
 from rolloom.workload.fixtures import with_sql
 
@@ -336,6 +336,45 @@ def step_request_metrics(spark, d):
     return metrics.select(*fx.GROUP, F.explode("metrics").alias("name", "value"))
 
 
+@query(
+    "step_request_round_trip",
+    with_sql("rollouts")
+    + """SELECT user_id, group_no AS request_no, k AS member, event_type AS prompt, 'answer ' || event_id AS answer,
+           CASE WHEN NOT failed THEN round(reward, 6) END AS reward, CASE WHEN group_no % 3 = 0 THEN group_no::DOUBLE END AS metric
+         FROM rollouts""",
+)
+def step_request_round_trip(spark, d):
+    """Write every rollout group as a step request file, read the requests back."""
+
+    def message(role, content):
+        return F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+
+    rollouts = fx.rollouts(spark, d)
+    samples = rollouts.select(
+        *fx.GROUP,
+        F.col("k").alias("member"),
+        message("user", F.col("event_type")).alias("messages"),
+        message("assistant", F.concat(F.lit("answer "), "event_id")).alias("completion"),
+        F.when(~F.col("failed"), F.col("reward")).alias("reward"),
+    )
+    metrics = rollouts.where("group_no % 3 = 0").select(*fx.GROUP).distinct()
+    metrics = metrics.withColumn("metrics", F.create_map(F.lit("group"), F.col("group_no").cast("double")))
+    path = scratch_path(spark, "step-requests")
+    step_requests(samples, fx.GROUP, fx.GROUP_SIZE, metrics).write.json(path)
+    stored = spark.read.schema("user_id long, group_no long, request string").json(path)
+    requests = stored.select("user_id", F.col("group_no").alias("request_no"), F.parse_json("request").alias("request"))
+    keys = ["user_id", "request_no"]
+    read = read_rollout_groups(requests, keys).join(request_metrics(requests, keys), keys, "left")
+    return read.select(
+        *keys,
+        F.col("member").cast("bigint").alias("member"),
+        F.col("messages")[0]["content"].alias("prompt"),
+        F.col("completion")[0]["content"].alias("answer"),
+        F.round("reward", 6).alias("reward"),
+        F.col("metrics")["group"].alias("metric"),
+    )
+
+
 @query(
     "job_log_round_trip",
     with_sql("job_logs")

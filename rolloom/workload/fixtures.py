@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def user_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Events numbered from 1 within their user."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", *columns)
-    return grouped_rank(events, ["user_id"], ["ts", "event_id"], time_chunk("ts"), "rn")
+    return grouped_rank(events, ["user_id"], ["ts", "event_id"], time_chunk("ts", "day"), "rn")
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
