@@ -184,7 +184,7 @@ def _tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: Tokenizer, dtype
 def _pack(numbers: np.ndarray, begin: np.ndarray, sizes: np.ndarray, tokens: bytes) -> bytes:
     head = np.array([len(numbers)], np.int64)
     parts = (head, numbers.astype(np.int64), begin.astype(np.int32), sizes.astype(np.int32))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts) + tokens)
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(p.tobytes() for p in parts) + tokens)
 
 
 def write_training_order(
