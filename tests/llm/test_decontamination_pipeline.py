@@ -118,7 +118,7 @@ def test_pipeline_against_brute_force(spark):
     copies = {r.doc_id: r.copies for r in plan.collect()}
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in got) == Counter({i: n for i, n in copies.items() if n})
-    assert [r.shard for r in sorted(got, key=lambda r: (r.doc_id, r.slot))] == sorted(r.shard for r in got)
+    assert [r.shard for r in sorted(got, key=lambda r: (r.doc_id, r.shard))] == sorted(r.shard for r in got)
     assert sum(sizes[r.doc_id] for r in got) > 0
 
 
