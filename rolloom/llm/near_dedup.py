@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ from rolloom.session import materialize
 SHINGLE, SIMILAR = 5, 0.8
 #: Two texts below FAR and above NEAR similarity to a third are split from it by both ways of ``split_keys``.
 NEAR, FAR = 0.5, 0.75
+#: Share of a text's shingles in a lead that it is not linked to from which it keeps its own sketches.
+CONTAINED = 0.5
+#: Pairs of different classes per node up to which a group is compared pair by pair.
+DIRECT = 16
 #: Sketches per text, and minima in a sketch. At similarity 0.8 a sketch agrees with probability
 #: 0.8^3, so a pair is missed by all 16 with probability 1e-5.
 SKETCHES, MINIMA = 16, 3
@@ -140,38 +144,53 @@ def similarity(left: list[bytes], right: list[bytes], least: float = SIMILAR) ->
     return matched / (total - matched)
 
 
-def split_keys(lead: np.ndarray, other: np.ndarray) -> tuple[float, list[int]]:
-    """Similarity of two arrays of labelled shingles, and keys under which ``other`` meets its like.
+def split_keys(lead: np.ndarray, other: np.ndarray, similar: float, alike: Callable[[], bool]) -> tuple[bool, list[int]]:
+    """Whether ``other`` is linked to the lead, from arrays of labelled shingles, and keys under which it meets its like.
 
-    Take two texts alike to each other, but not both to the lead. If they are NEAR the lead, what they
-    share beyond what each shares with the lead must hold a shingle that the lead lacks (else either would
-    be alike to a lead of its size): every such shingle is a key. If they are far from it, most of their
-    shingles are not the lead's, and sketches of these alone bring them together. By the triangle inequality a pair
-    with one text below NEAR has both below FAR, so between the two both kinds of key are given.
+    ``alike`` is asked only where enough shingles are common. Take two texts alike to each other, at least one of
+    them not linked to the lead.
+    * If they share a shingle that the lead lacks and are NEAR it, every such shingle is a key. If they are far from
+      the lead, most of their shingles are not the lead's, and sketches of these alone bring them together. By the triangle
+      inequality a pair with one text below NEAR has both below FAR, so between the two both kinds of key are given.
+    * If all they share is the lead's (two excerpts of it, say), the lead holds ``similar`` of each. If neither is linked
+      to the lead, they meet under their own sketches again, which have brought them together before. If only one is, both lack
+      more of the lead's shingles than the linked one has shingles that the lead lacks. So the linked one
+      is shorter than the lead and may leave out that many of its missing shingles: the others are keys, as are all
+      that the unlinked one misses.
     """
     rest = other[~np.isin(other, lead)]
     common = len(other) - len(rest)
     close = common / max(1, len(lead) + len(rest))
+    linked = close >= similar - 1e-9 and alike()
     keys = []
     if close >= NEAR:
         keys += rest.view(np.int64).tolist()
     if close < FAR:
         keys += order_keys(rest)
-    return close, keys
+    if not linked and common >= CONTAINED * len(other):
+        keys += order_keys(other)
+    if common >= similar * len(other) - 1e-9 and close >= 2 * similar - 1 - 1e-9:
+        lacks = lead[~np.isin(lead, other)]
+        lacks = lacks[: max(0, len(lead) - len(other))] if linked else lacks
+        keys += _mix(lacks ^ _B).view(np.int64).tolist()
+    return linked, keys
 
 
 def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id``, ``digest`` (MD5 of the text) and ``keys``; a null text has neither digest nor keys."""
+    """``id``, ``digest`` (MD5 of the text), ``keys`` and ``shingles`` (their number); a null text has but the id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [None if t is None else order_keys(labelled_shingles(byte_words(t))) for t in batch.column(2).to_pylist()]
+            found = [None if t is None else labelled_shingles(byte_words(t)) for t in batch.column(2).to_pylist()]
+            keys = [None if f is None else order_keys(f) for f in found]
+            sizes = [None if f is None else len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"]
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                names=["id", "digest", "keys", "shingles"],
             )
 
-    return rows.mapInArrow(run, "id long, digest string, keys array<long>")
+    return rows.mapInArrow(run, "id long, digest string, keys array<long>, shingles long")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -192,8 +211,8 @@ def _compare(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
                         words = byte_words(t)
                         known[t] = words, labelled_shingles(words)
                 (words, lead), (others, other) = known[one], known[two]
-                close, rest = split_keys(lead, other)
-                linked.append(close >= similar - 1e-9 and similarity(words, others, similar) >= similar)
+                same, rest = split_keys(lead, other, similar, lambda: similarity(words, others, similar) >= similar)
+                linked.append(same)
                 keys.append(rest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))],
@@ -229,9 +248,35 @@ def _merge(graph: DataFrame | None, linked: DataFrame) -> DataFrame | None:
     return materialize(joined.select("node", F.coalesce("into", "component").alias("component")), "graph")
 
 
+def _settle(groups: DataFrame, graph: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """The graph after comparing all pairs of different components in groups with at most DIRECT of them per node,
+    and the rows of the other groups that have more than one component.
+
+    One of a pair is outside its group's largest component, and such nodes are few there. Texts whose
+    numbers of shingles are further apart than ``similar`` are not compared.
+    """
+    named = groups.join(weights, "node").join(_named(graph, "node"), "node", "left")
+    named = named.withColumn("comp", F.coalesce("node_comp", "node")).drop("node_comp")
+    parts = named.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "comp")).alias("most"))
+    crossing = (F.col("n") * F.col("n") - F.col("squares")) / 2
+    sizes = sizes.where(crossing > 0).select("key", F.col("most")["comp"].alias("major"), (crossing <= DIRECT * F.col("n")).alias("few"))
+    rows = materialize(named.join(sizes, "key"), "crossing")
+    columns = ["key", "comp", "weight", "node", "shingles"]
+    one = rows.where("few AND comp <> major").select(*(F.col(c).alias(f"{c}_a") for c in columns))
+    two = rows.where("few").select(*(F.col(c).alias(f"{c}_b") for c in columns))
+    near = F.least("shingles_a", "shingles_b") >= similar * F.greatest("shingles_a", "shingles_b") - 1e-6
+    met = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    first, second = F.struct("weight_a", "node_a"), F.struct("weight_b", "node_b")
+    pairs = met.select(F.when(first > second, F.col("node_a")).otherwise(F.col("node_b")).alias("lead"), F.when(first > second, F.col("node_b")).otherwise(F.col("node_a")).alias("node"))
+    compared = materialize(_compare(pairs.distinct(), texts, similar).select("lead", "node", "linked"), "settled")
+    merged = _merge(graph, compared.where("linked"))
+    return graph if merged is None else merged, rows.where("NOT few").select("key", "node")
+
+
 def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
     """``component`` of each ``node`` that is linked to another, from rows (key, node) of groups."""
-    graph, done, rounds = None, None, 0
+    graph, done, emitted = None, None, None
     while not groups.isEmpty():
         weighed = groups.join(weights, "node")
         heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("head"), F.count("*").alias("size"))
@@ -243,17 +288,24 @@ def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: flo
         compared = materialize(_compare(pairs, texts, similar), "compared")
         done = compared if done is None else done.union(compared)
         merged = _merge(graph, compared.where("linked"))
-        if merged is None and rounds:
-            break
-        graph, rounds = merged, rounds + 1
+        graph = graph if merged is None else merged
         if graph is None:
             graph = compared.select("node", F.col("node").alias("component")).limit(0)
-        lead_comp, node_comp = _named(graph, "lead"), _named(graph, "node")
-        apart = led.join(lead_comp, "lead", "left").join(node_comp, "node", "left")
-        apart = apart.where(~F.coalesce(F.col("lead_comp") == F.col("node_comp"), F.lit(False)))
-        opened = led.join(apart.select("key").distinct(), "key", "left_semi").select("lead", "node").distinct()
-        keyed = done.join(opened, ["lead", "node"], "left_semi").select("node", F.explode("keys").alias("key")).distinct()
-        several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+        graph, large = _settle(groups, graph, weights, texts, similar)
+        if large.isEmpty():
+            break
+        fresh = led.join(large.select("key").distinct(), "key", "left_semi").select("lead", "node").distinct()
+        if emitted is not None:
+            fresh = fresh.join(emitted.select("lead", "node"), ["lead", "node"], "left_anti")
+        fresh = materialize(fresh.withColumn("fresh", F.lit(True)), "fresh")
+        before = fresh if emitted is None else emitted.withColumn("fresh", F.lit(False)).union(fresh.select("lead", "node", "fresh"))
+        emitted = fresh.select("lead", "node") if emitted is None else emitted.union(fresh.select("lead", "node"))
+        # a key counts among the nodes of one lead, and again only when it has got a new node
+        keyed = done.join(before, ["lead", "node"]).select("lead", "node", "fresh", F.explode("keys").alias("key"))
+        keyed = keyed.select("node", "fresh", F.xxhash64("lead", "key").alias("key")).distinct()
+        named = keyed.join(_named(graph, "node"), "node", "left").withColumn("comp", F.coalesce("node_comp", "node"))
+        several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("fresh").alias("new"))
+        several = several.where("low < high AND new").select("key")
         groups = materialize(keyed.join(several, "key").select("key", "node"), "groups")
     return graph
 
@@ -269,24 +321,24 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
 
     Equal texts are reduced to one node inside tasks before the shuffle, so thousands of copies cost
     as much as one. Nodes that share a sketch key form a group. Each is compared, over the whole texts, with one lead
-    of its group, never all with all: the node whose keys are most common, which in a large group of
+    of its group: the node whose keys are most common, which in a large group of
     copies is the text that the others were made from. Groups whose nodes are then not all in one class
-    are grouped anew by what sets them apart from the lead (see ``split_keys``), until that joins no more
-    classes. So large groups of copies cost a few comparisons per text and round, and links among texts that
+    compare the pairs of different classes if those are few (see ``_settle``), and are else grouped anew by what sets them
+    apart from the lead (see ``split_keys``), until no group is left with nodes of two classes. So large groups of copies cost a few comparisons per text and round, and links among texts that
     the lead is not alike to are found as well.
     """
     rows = materialize(sketch_rows(docs, doc_id, text), "sketches")
     grouped = (
         rows.where("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = materialize(grouped, "nodes")
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    members = nodes.select("node", "shingles", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     joined = materialize(members.join(buckets, "key"), "members")
-    weights = materialize(joined.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    weights = materialize(joined.groupBy("node").agg(F.sum("size").alias("weight"), F.first("shingles").alias("shingles")), "weights")
 
     candidates = nodes.join(weights, "node").select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("digest"), F.col(text).alias("text"))

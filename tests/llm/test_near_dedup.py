@@ -65,6 +65,24 @@ def test_many_near_copies_of_one_text(rows):
     assert wrong == 0 and found >= 0.99 * len(pairs)
 
 
+def test_truncations_among_many_near_copies(rows):
+    """Excerpts of a popular text have no shingle of their own, and every bucket they share is led by a copy."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    data = [(0, " ".join(base))]
+    for i in range(1, 300):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(words)))
+    cuts = [(0, 120), (0, 140), (130, 180), (132, 185), (0, 50), (0, 45), (20, 155), (10, 172), (60, 136), (61, 140)]
+    data += [(1000 + i, " ".join(base[a:b])) for i, (a, b) in enumerate(cuts)]
+    by_hand = classes_by_hand(data)
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(rows("doc_id long, text string", data), "doc_id", "text").collect()}
+    assert got == {i: by_hand[(False, i, t)] for i, t in data}
+    assert got[1000] == got[1001] and got[1002] == got[1003]
+
+
 def data_text(data, i):
     return next(t for j, t in data if j == i)
 
