@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_output, url_filter
+from rolloom.llm import collocations, decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_output, url_filter
 from rolloom.llm.oracles import ORACLES  # noqa: F401
 from rolloom.llm.texts import word_count
 
@@ -108,6 +108,11 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text").drop("digest")
 
 
+def op12_parsed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return collocations.collocations(docs, "text", "lang")
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_alias_urls": op2_alias_urls,
@@ -119,4 +124,5 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_order_minhash": op9_order_minhash,
     "op10_latent_leaks": op10_latent_leaks,
+    "op12_parsed_phrases": op12_parsed_phrases,
 }
