@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import collocations, decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_output, url_filter
+from rolloom.llm import collocations, decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_alignment, token_output, url_filter
 from rolloom.llm.oracles import ORACLES  # noqa: F401
 from rolloom.llm.texts import word_count
 
@@ -21,6 +21,9 @@ URL_RULES = (
 #: The tokenizer of the token query: a rank file on every executor, and its free id.
 TOKENIZER = token_output.Tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken", 50256)
 
+#: The files of the two tokenizers whose tokens are aligned.
+ALIGNED = token_alignment.Tokenizers("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,6 +111,20 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text").drop("digest")
 
 
+def op11_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    aligned = token_alignment.align(docs, "text", ALIGNED)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    measured = aligned.measures.join(aligned.texts.select("key", digest), "key")
+    rows = token_alignment.per_document(docs, "doc_id", "text", measured)
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return rows.select(
+        "doc_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"),
+    )
+
+
 def op12_parsed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return collocations.collocations(docs, "text", "lang")
@@ -124,5 +141,6 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_order_minhash": op9_order_minhash,
     "op10_latent_leaks": op10_latent_leaks,
+    "op11_aligned_tokens": op11_aligned_tokens,
     "op12_parsed_phrases": op12_parsed_phrases,
 }
