@@ -237,6 +237,25 @@ WHERE around IS NULL OR 100 * around < 50 * a
 QUALIFY rank <= 2000
 """
 
+#: The pages of the tables hold their text in one article of h1 and p; other layouts are covered by tests.
+_OP13 = """
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body
+  FROM pages
+), cut AS (
+  SELECT r, unnest(string_split_regex(body, '</?(?:h1|p)>')) AS part,
+    generate_subscripts(string_split_regex(body, '</?(?:h1|p)>'), 1) AS i
+  FROM numbered
+), plain AS (
+  SELECT r, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+    regexp_replace(part, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)),
+    '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS block
+  FROM cut
+), joined AS (SELECT r, string_agg(block, chr(10) ORDER BY i) AS text FROM plain WHERE block <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars
+FROM numbered LEFT JOIN joined USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_byte_shards": _OP1,
     "op2_alias_urls": _OP2,
@@ -244,4 +263,5 @@ ORACLES: dict[str, str] = {
     "op4_blob_secrets": _OP4,
     "op8_source_mix": _OP8,
     "op12_parsed_phrases": _OP12,
+    "op13_path_text": _OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import collocations, decontamination, language_id, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_alignment, token_output, url_filter
+from rolloom.llm import collocations, decontamination, language_id, main_text, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_alignment, token_output, url_filter
 from rolloom.llm.oracles import ORACLES  # noqa: F401
 from rolloom.llm.texts import word_count
 
@@ -130,6 +130,10 @@ def op12_parsed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(docs, "text", "lang")
 
 
+def op13_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_alias_urls": op2_alias_urls,
@@ -143,4 +147,5 @@ QUERIES = {
     "op10_latent_leaks": op10_latent_leaks,
     "op11_aligned_tokens": op11_aligned_tokens,
     "op12_parsed_phrases": op12_parsed_phrases,
+    "op13_path_text": op13_path_text,
 }
