@@ -21,7 +21,9 @@ TRIGGER = 32
 #: A chunk without a trigger is cut after so many words; where a cut falls changes no count.
 LONGEST = 4096
 #: Bytes of text behind one block of the dictionary, and behind one bucket of n-gram hashes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Chunks whose words are numbered at once.
+SLICE = 2000
 #: Bytes of chunks that a task gathers before it sends their counts.
 FLUSH_BYTES = 4 << 20
 #: The token between two pieces of a text, which no n-gram crosses.
@@ -85,48 +87,45 @@ class Block:
             merged[lang, chunk] = merged.get((lang, chunk), 0) + n
         self.tail = tail
         lang_codes, codes = Codes(), Codes()
-        sizes = np.fromiter((chunk.count(b" ") + 1 for _, chunk in merged), np.int64, len(merged))
-        lang_of = lang_codes.numbers([lang for lang, _ in merged])
-        self.words = codes.numbers(b" ".join([chunk for _, chunk in merged]).split(b" ")) if merged else np.empty(0, np.int64)
-        self.names, self.spelled = list(lang_codes), list(codes)
-        self.lang = np.repeat(lang_of, sizes)
-        self.weight = np.repeat(np.fromiter(merged.values(), np.int64, len(merged)), sizes)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.words))  # tokens from here to the chunk's end
-        self.owned = left > tail
+        self.lang = lang_codes.numbers([lang for lang, _ in merged])
+        self.weight = np.fromiter(merged.values(), np.int64, len(merged))
+        distinct = [chunk for _, chunk in merged]
+        sizes = np.fromiter((chunk.count(b" ") + 1 for chunk in distinct), np.int64, len(distinct))
+        parts = [b" ".join(distinct[at : at + SLICE]).split(b" ") for at in range(0, len(distinct), SLICE)]
+        self.words = np.concatenate([codes.numbers(part).astype(np.int32) for part in parts])
+        self.chunk = np.repeat(np.arange(len(distinct), dtype=np.int32), sizes)
+        left = np.cumsum(sizes)[self.chunk] - np.arange(len(self.words))  # tokens from here to the chunk's end
         self.word = self.words != codes.get(BREAK, -1)
+        self.first = (left > tail) & self.word
+        self.names, self.spelled = list(lang_codes), list(codes)
         spread = lambda names: np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))
-        self.word_hash = spread(self.spelled)[self.words] if merged else np.empty(0, np.uint64)
-        self.lang_hash = spread(self.names)[self.lang] if merged else np.empty(0, np.uint64)
-
-    def starts(self, size: int) -> np.ndarray:
-        """Positions where an n-gram of ``size`` words starts that belongs to its chunk."""
-        fits = self.owned & self.word
-        for k in range(1, size):
-            fits[:-k] &= self.word[k:]
-        return np.nonzero(fits)[0]
-
-    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
-        out = self.lang_hash[starts] + np.uint64(size)
-        for k in range(size):
-            out = _mixed((out ^ self.word_hash[starts + k]) * _A)
-        return out
+        self.word_hash, self.lang_hash = spread(self.spelled), spread(self.names)[self.lang]
 
     def ngrams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size the positions where an n-gram starts that belongs to its chunk, and its hashes."""
+        fits = self.first.copy()
         for size in range(1, self.tail + 2):
-            starts = self.starts(size)
-            yield size, starts, self.hashes(starts, size)
+            if size > 1:
+                fits[: 1 - size] &= self.word[size - 1 :]
+            starts = np.nonzero(fits)[0]
+            hashes = self.lang_hash[self.chunk[starts]] + np.uint64(size)
+            for k in range(size):
+                hashes = _mixed((hashes ^ self.word_hash[self.words[starts + k]]) * _A)
+            yield size, starts, hashes
 
     def hashed(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes of all n-grams in ascending order, and how often each occurs."""
-        parts = list(self.ngrams())
-        hashes = np.concatenate([h for _, _, h in parts])
-        weights = np.concatenate([self.weight[s] for _, s, _ in parts])
-        order = np.argsort(hashes, kind="stable")
-        return summed(hashes[order], weights[order])
+        parts = []
+        for _, starts, hashes in self.ngrams():
+            order = np.argsort(hashes)
+            parts.append(summed(hashes[order], self.weight[self.chunk[starts[order]]]))
+        hashes, counts = (np.concatenate(part) for part in zip(*parts))
+        order = np.argsort(hashes)
+        return summed(hashes[order], counts[order])
 
     def totals(self) -> list[tuple[str, int]]:
         """Occurrences of words per language."""
-        at = self.starts(1)
+        at = self.chunk[self.first]
         counts = np.zeros(len(self.names), np.int64)
         np.add.at(counts, self.lang[at], self.weight[at])
         return list(zip(self.names, counts.tolist()))
@@ -135,22 +134,27 @@ class Block:
         """Language, words and count of each distinct n-gram whose hash is one of ``hashes`` (ascending)."""
         if not len(hashes):
             return
+        low = np.uint64((1 << 22) - 1)
+        likely = np.zeros(1 << 22, bool)  # spares most others the search
+        likely[hashes & low] = True
         for size, starts, own in self.ngrams():
+            some = likely[own & low]
+            starts, own = starts[some], own[some]
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             starts = starts[hashes[at] == own]
             if not len(starts):
                 continue
-            group = self.lang[starts]
+            group = self.lang[self.chunk[starts]]
             for k in range(size):
                 group = np.unique(group * len(self.spelled) + self.words[starts + k], return_inverse=True)[1]
             _, first = np.unique(group, return_index=True)
             counts = np.zeros(len(first), np.int64)
-            np.add.at(counts, group, self.weight[starts])
+            np.add.at(counts, group, self.weight[self.chunk[starts]])
             shown = starts[first]
             spelled = [self.spelled[c] for c in self.words[shown].tolist()]
             for k in range(1, size):
                 spelled = [a + b" " + self.spelled[c] for a, c in zip(spelled, self.words[shown + k].tolist())]
-            yield [self.names[c] for c in self.lang[shown].tolist()], spelled, counts
+            yield [self.names[c] for c in self.lang[self.chunk[shown]].tolist()], spelled, counts
 
 
 def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +266,7 @@ def phrase_counts(
             hashes.append(some)
             counts.append(times)
         every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         distinct, sums = summed(every[order], np.concatenate(counts)[order])
         frequent = distinct[sums >= min_count]
         told = [np.intersect1d(h, frequent, assume_unique=True) for h in hashes]
