@@ -61,26 +61,34 @@ def loss(
     completion tokens over the number of ranks. Those two are read from ``totals``, one
     row of ``tokens`` and ``ranks``, if given; else they are counted over ``df``.
     """
+    mask = F.col("mask").cast("double")
+    per_seq = df.groupBy("rank", "seq_id").agg(F.sum(F.col("loss") * mask).alias("loss"), F.sum(mask).alias("mask"))
+    return reduce_losses(per_seq, kind, max_seq_len, totals)
+
+
+def reduce_losses(
+    per_seq: DataFrame, kind: str, max_seq_len: int | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """``loss`` from sequences' sums: ``rank, seq_id, loss`` (masked sum) and ``mask`` (tokens).
+
+    All kinds come from these sums, so a caller who wants several computes the sequences once.
+    """
     if kind not in LOSS_KINDS:
         raise ValueError(f"unknown loss type: {kind}")
-    mask = F.col("mask").cast("double")
-    per_seq = df.groupBy("rank", "seq_id").agg(
-        F.sum(F.col("loss") * mask).alias("_loss"), F.sum(mask).alias("_tokens")
-    )
-    at_least_one = F.greatest(F.sum("_tokens"), F.lit(1.0))
+    at_least_one = F.greatest(F.sum("mask"), F.lit(1.0))
     if kind == "grpo":
-        value = F.avg(F.col("_loss") / F.greatest("_tokens", F.lit(1.0)))
+        value = F.avg(F.col("loss") / F.greatest("mask", F.lit(1.0)))
     elif kind == "bnpo":
-        value = F.sum("_loss") / at_least_one
+        value = F.sum("loss") / at_least_one
     elif kind == "dr_grpo":
-        value = F.sum("_loss") / (F.count(F.lit(1)) * F.lit(max_seq_len))
+        value = F.sum("loss") / (F.count(F.lit(1)) * F.lit(max_seq_len))
     else:
-        value = F.sum("_loss")
+        value = F.sum("loss")
     per_rank = per_seq.groupBy("rank").agg(value.alias("loss"))
     if kind != "dapo":
         return per_rank
     if totals is None:
-        totals = df.agg(F.sum(mask).alias("tokens"), F.count_distinct("rank").alias("ranks"))
+        totals = per_seq.agg(F.sum("mask").alias("tokens"), F.count_distinct("rank").alias("ranks"))
     return (
         per_rank.withColumn("_tokens", totals.select("tokens").scalar())
         .withColumn("_ranks", totals.select("ranks").scalar())

@@ -64,3 +64,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than cores out to all cores, before costly work on every row.
+
+    A file of one row group is one task, however long its texts take. A scan of as many splits as cores, as
+    of any large table, stays as it is and is not shuffled. ``scan`` must be a plain read: asking for its splits runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -360,8 +360,8 @@ SQL = {
         pairs_dpo AS (
             SELECT s.lang, i.pair_no, g.doc_id AS good_id, g.text AS good, b.doc_id AS bad_id, b.text AS bad
             FROM sides s, unnest(generate_series(1, greatest(n1, n0))) i(pair_no)
-            JOIN placed g ON g.lang = s.lang AND g.quality = 1 AND g.pair_no = (i.pair_no - 1) % n1 + 1
-            JOIN placed b ON b.lang = s.lang AND b.quality = 0 AND b.pair_no = (i.pair_no - 1) % n0 + 1),
+            JOIN placed g ON g.lang = s.lang AND g.quality = 1 AND g.pair_no = (i.pair_no - 1) % nullif(n1, 0) + 1
+            JOIN placed b ON b.lang = s.lang AND b.quality = 0 AND b.pair_no = (i.pair_no - 1) % nullif(n0, 0) + 1),
         dpo_all AS (
             SELECT 'pairs-' || lang AS file, pair_no AS line_no, good_id, bad_id,
                    {_case("good_id % 11", DPO_DEFECTS, '''to_json({'input': {'messages': [{'role': 'user', 'content': 'document ' || good_id}],

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions import text as tx
 from rolloom.functions.chat import ChatTemplate
 from rolloom.operators import metrics as mt
+from rolloom.operators import policy as po
 from rolloom.operators import retrieval as rt
 from rolloom.operators import rewards as rw
 from rolloom.operators import tokens as tk
 from rolloom.operators.batches import processed_batches as processed
 from rolloom.operators.grouping import assistant_turns, prompt_completion
-from rolloom.session import materialize
+from rolloom.session import materialize, spread
 from rolloom.workload import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -130,20 +134,19 @@ def _texts(spark, d):
     return rendered.select("conv_id", F.explode(parts).alias("part", "text"))
 
 
-def _vocabulary(texts):
-    return tk.build_vocabulary(tk.token_rows(texts, ["conv_id"], "text"), SPECIALS)
+def _coded(spark, d):
+    return tk.token_dictionary(_texts(spark, d), ["conv_id", "part"], "text")
 
 
 @query("vocabulary", _TOKENS + " SELECT token, id AS token_id, uses FROM vocab")
 def vocabulary(spark, d):
-    return _vocabulary(_texts(spark, d))
+    return tk.build_vocabulary(_coded(spark, d).words, SPECIALS)
 
 
 def _token_ids(spark, d):
     """Token ids of both texts, as a stored table: what follows reads it more than once."""
-    texts = _texts(spark, d)
-    vocab = materialize(_vocabulary(texts), "vocabulary")
-    ids = tk.tokenize(texts, ["conv_id", "part"], "text", vocab)
+    coded = _coded(spark, d)
+    ids = tk.token_ids(coded, tk.build_vocabulary(coded.words, SPECIALS))
     both = ids.groupBy("conv_id").agg(
         F.first(F.when(F.col("part") == "prompt", F.col("ids")), True).alias("prompt_ids"),
         F.first(F.when(F.col("part") == "completion", F.col("ids")), True).alias("completion_ids"),
@@ -294,6 +297,109 @@ def processed_batches(spark, d):
     )
 
 
+# --- from chats to losses ------------------------------------------------------------
+
+_RANKS, _LOW, _HIGH, _DELTA, _BETA = 4, 0.2, 0.28, 1.5, 0.04
+
+# A sampler logged the reference's log-probabilities for whole sequences; the trainer computes its own for what it kept.
+_LOSS_ROWS = _TOKENS + _FIT.replace("FROM padded)", "FROM masked)") + f""", kept AS (
+      SELECT conv_id, conv_id // 8 AS batch_no, greatest(w - {MAX_SEQ_LEN}, 0) AS first, w - greatest(w - {MAX_SEQ_LEN}, 0) AS n, input_ids, attention_mask
+      FROM wide),
+    placed AS (SELECT conv_id, batch_no, first, unnest(range(1, n)) AS pos, input_ids, attention_mask FROM kept),
+    predicted AS (
+      SELECT conv_id, batch_no, pos, first + pos AS place, input_ids[first + pos + 1] AS token, attention_mask[first + pos + 1] AS mask FROM placed),
+    judged AS (
+      SELECT conv_id, (reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-4) AS advantage
+      FROM (SELECT DISTINCT conv_id, conv_id // 8 AS batch_no, (conv_id * 7919) % 11 / 4.0::DOUBLE AS reward FROM conversations)
+      WINDOW g AS (PARTITION BY batch_no)),
+    toks AS (
+      SELECT conv_id, conv_id % {_RANKS} AS rank, pos, token, mask, advantage,
+             -((token * 31 + pos * 17) % 97) / 400.0::DOUBLE AS logp_new,
+             CASE WHEN conv_id % 7 <> 0 THEN -((token * 29 + pos * 13) % 97) / 400.0::DOUBLE END AS logp_old,
+             -((token * 37 + place * 11) % 97) / 400.0::DOUBLE AS logp_ref
+      FROM predicted JOIN judged USING (conv_id))"""
+
+
+def _trained(spark, d):
+    """Chats rendered, tokenized, padded, masked, cut, with advantages and log-probabilities: a row per predicted token."""
+    made = tk.assemble(_masked(spark, d), BATCH, PAD, MAX_SEQ_LEN)
+    rewards = made.select("conv_id", "batch_no", (F.expr("(conv_id * 7919) % 11") / 4.0).alias("reward"))
+    scored = rw.advantages(rewards, BATCH, scale=True).select("conv_id", "advantage")
+    logged = lambda ids, a, b: F.transform(
+        F.slice(ids, F.lit(2), F.size(ids) - 1), lambda t, i: -((t.cast("bigint") * a + (i + 1) * b) % 97) / 400.0
+    )
+    # the sampler's sequences are as wide as the batch was before the cut
+    pads = F.array_repeat(F.lit(PAD), F.col("first_kept") + F.size("input_ids") - F.size("prompt_ids") - F.size("completion_ids"))
+    whole = F.concat("prompt_ids", "completion_ids", pads)
+    columns = {
+        "of_new": logged(F.col("input_ids"), 31, 17),
+        "of_old": F.when(F.col("conv_id") % 7 != 0, logged(F.col("input_ids"), 29, 13)),
+        "of_ref": logged(whole, 37, 11),
+    }
+    sequences = made.withColumns(columns).join(scored, "conv_id")
+    names = {"logp_new": "of_new", "logp_old": "of_old", "logp_ref": "of_ref"}
+    rows = tk.loss_rows(sequences, ["conv_id"], names, ["logp_ref"])
+    return rows.withColumn("rank", F.col("conv_id") % _RANKS).withColumn("seq_id", F.col("conv_id"))
+
+
+@query(
+    "chat_loss_rows",
+    _LOSS_ROWS
+    + " SELECT conv_id, pos, token, mask, round(advantage, 6) AS advantage, round(logp_new, 6) AS logp_new,"
+    " round(logp_old, 6) AS logp_old, round(logp_ref, 6) AS logp_ref FROM toks",
+)
+def chat_loss_rows(spark, d):
+    rounded = [F.round(c, 6).alias(c) for c in ("advantage", "logp_new", "logp_old", "logp_ref")]
+    return _trained(spark, d).select("conv_id", "pos", "token", "mask", *rounded)
+
+
+_LOSS_OF = {
+    "grpo": "avg(l / greatest(t, 1))",
+    "bnpo": "sum(l) / greatest(sum(t), 1)",
+    "dr_grpo": f"sum(l) / (count(*) * {MAX_SEQ_LEN})",
+    "dapo": f"sum(l) / ((SELECT sum(list_sum(completion_mask)) FROM masked) / {_RANKS}.0::DOUBLE)",
+}
+
+
+@query(
+    "chat_policy_loss",
+    _LOSS_ROWS
+    + f""", ratios AS (
+        SELECT *, coalesce(exp(logp_new - logp_old), 1) AS ratio, exp(logp_ref - logp_new) - (logp_ref - logp_new) - 1 AS kl FROM toks),
+      losses AS (
+        SELECT rank, conv_id, mask, -least(least(ratio, {_DELTA}) * advantage, greatest({1 - _LOW}, least({1 + _HIGH}, ratio)) * advantage) + {_BETA} * kl AS loss FROM ratios),
+      seqs AS (SELECT rank, conv_id, sum(loss * mask) AS l, sum(mask) AS t FROM losses GROUP BY 1, 2) """
+    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, rank, round({value}, 6) AS loss FROM seqs GROUP BY rank" for kind, value in _LOSS_OF.items()),
+)
+def chat_policy_loss(spark, d):
+    """All four losses from rendered chats on. Two of them count the tokens of the completions as they were before the cut."""
+    losses = po.token_loss(po.ratios(_trained(spark, d), _LOW, _HIGH), _DELTA, _BETA)
+    losses = materialize(losses.groupBy("rank", "seq_id").agg(F.sum(F.col("loss") * F.col("mask")).alias("loss"), F.sum("mask").alias("mask")), "sequence-losses")
+    tokens = _masked(spark, d).agg(F.sum(tk.mask_sum("completion_mask")).alias("tokens")).withColumn("ranks", F.lit(_RANKS))
+    made = [
+        po.reduce_losses(losses, kind, MAX_SEQ_LEN, tokens).select(F.lit(kind).alias("kind"), "rank", F.round("loss", 6).alias("loss"))
+        for kind in po.LOSS_KINDS
+    ]
+    return functools.reduce(DataFrame.unionByName, made)
+
+
+@query(
+    "chat_clip_fractions",
+    _LOSS_ROWS
+    + """, ratios AS (SELECT *, coalesce(exp(logp_new - logp_old), 1) AS ratio FROM toks),
+      shares AS (
+        SELECT rank, sum(CASE WHEN ratio < 0.8 AND advantage < 0 THEN mask ELSE 0 END) / nullif(sum(mask), 0)::DOUBLE AS low,
+               sum(CASE WHEN ratio > 1.28 AND advantage > 0 THEN mask ELSE 0 END) / nullif(sum(mask), 0)::DOUBLE AS high,
+               sum(CASE WHEN (ratio < 0.8 AND advantage < 0) OR (ratio > 1.28 AND advantage > 0) THEN mask ELSE 0 END) / nullif(sum(mask), 0)::DOUBLE AS region
+        FROM ratios GROUP BY 1)
+      SELECT round(avg(low), 6) AS low_mean, round(min(low), 6) AS low_min, round(avg(high), 6) AS high_mean,
+             round(max(high), 6) AS high_max, round(avg(region), 6) AS region_mean FROM shares""",
+)
+def chat_clip_fractions(spark, d):
+    stats = po.clip_stats(po.ratios(_trained(spark, d), _LOW, _HIGH), _LOW, _HIGH)
+    return stats.select(*[F.round(c, 6).alias(c) for c in stats.columns])
+
+
 # --- text metrics and evaluation ----------------------------------------------------
 
 
@@ -395,7 +501,7 @@ def distinct_titles(spark, d):
 
 
 def _corpus(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = spread(fx.table(spark, d, "documents").select("doc_id", "source", "text"))
     titled = docs.select(
         "doc_id",
         F.concat_ws(" ", "source", F.expr("doc_id DIV 2")).alias("title"),
@@ -439,6 +545,34 @@ def bm25_search(spark, d):
     return _hits(spark, d)
 
 
+_STOPS = "SELECT term FROM (SELECT DISTINCT doc_id, term FROM raw_terms) GROUP BY term HAVING count(*) * 10 > (SELECT count(*) FROM corpus) * 9"
+_STEM = "regexp_replace({}, '(?:ing|ed|es|s)$', '')"
+_STEMMED = _BM25[: _BM25.index("    doc_terms AS")] + rf"""
+    raw_terms AS (SELECT doc_id, u.term FROM corpus, unnest(regexp_extract_all(lower(entry), '[\p{{L}}\p{{N}}]+')) u(term)),
+    stops AS ({_STOPS}),
+    doc_terms AS (
+      SELECT doc_id, coalesce(list({_STEM.format('term')}) FILTER (term NOT IN (SELECT term FROM stops)), []) AS t
+      FROM corpus LEFT JOIN raw_terms USING (doc_id) GROUP BY doc_id),""" + _BM25[_BM25.index("    totals AS") : _BM25.index("    q AS")] + rf"""
+    q AS (SELECT query_id, {_STEM.format('word')} AS term, count(*) AS qtf FROM (
+            SELECT item_id AS query_id, u.word FROM benchmark, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) u(word))
+          WHERE word NOT IN (SELECT term FROM stops) GROUP BY ALL),
+""" + _BM25[_BM25.index("    scored AS") :]
+
+
+@query("stemmed_search", _STEMMED + " SELECT query_id, doc_id, score, rank FROM hits")
+def stemmed_search(spark, d):
+    """Words of nine tenths of all entries are stop words; a table gives every word that ends in ing, ed, es or s its stem."""
+    docs = _corpus(spark, d).select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("word"))
+    counted = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    stops = counted.where(F.col("n") * 10 > 9 * docs.agg(F.count(F.lit(1))).scalar()).select("word")
+    items = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = items.select(F.explode(tx.terms(F.col("text"))).alias("word"))
+    stem = F.regexp_replace("word", "(?:ing|ed|es|s)$", "")
+    stems = counted.select("word").union(asked).distinct().select("word", stem.alias("stem")).where(F.col("stem") != F.col("word"))
+    return rt.bm25_topk(docs, items, 5, stops=stops, stems=stems)
+
+
 @query(
     "title_recall",
     _BM25
@@ -452,10 +586,9 @@ def bm25_search(spark, d):
 def title_recall(spark, d):
     """Gold titles (with a repeat) against the titles of the retrieved entries."""
     corpus = _corpus(spark, d)
-    # At most five hits per query.
-    found = (
-        _hits(spark, d).join(corpus, "doc_id").groupBy("query_id").agg(F.collect_list("text").alias("retrieved"))
-    )
+    # At most five hits per query; of the corpus only ids and titles are read.
+    titled = _hits(spark, d).join(corpus.select("doc_id", "title"), "doc_id")
+    found = titled.groupBy("query_id").agg(F.collect_list("title").alias("retrieved"))
     items = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "source")
     ids = F.array(F.col("query_id"), F.col("query_id") + 1, F.col("query_id"))

@@ -29,19 +29,48 @@ def test_prompt_and_completion_make_up_the_full_text(rows):
     assert got.completion_text == "a<|end|>[tool]t<|end|>"
 
 
-def test_tokenize_with_few_hot_rows_and_empty_texts(rows):
-    df = rows("id int, text string", [(1, "a b a , c<|end|>"), (2, ""), (3, "zz a"), (4, None)])
-    table = tk.token_rows(df.where("id < 3"), ["id"], "text")
-    vocab = tk.build_vocabulary(table, ["<|pad|>", "<|end|>"])
+def test_tokenize_empty_unknown_and_repeated(rows, spark):
+    df = rows("id int, text string", [(1, "a b a , c<|end|>"), (2, ""), (3, "zz a"), (4, None), (5, "a"), (5, "b"), (None, "a")])
+    coded = tk.token_dictionary(df.where("id < 3"), ["id"], "text")
+    vocab = tk.build_vocabulary(coded.words, ["<|pad|>", "<|end|>"])
     ids = {r.token: r.token_id for r in vocab.collect()}
     assert ids["<|end|>"] == 1 and sorted(v for k, v in ids.items() if k != "<|end|>") == [2, 3, 4, 5]
-    got = {r.id: r.ids for r in tk.tokenize(df, ["id"], "text", vocab).collect()}
-    assert got == {1: [ids[t] for t in ("a", "b", "a", ",", "c", "<|end|>")], 2: [], 3: [-1, ids["a"]], 4: []}
-    rows_ = tk.token_rows(df, ["id"], "text")
-    for hot in (1, 100):
-        found = tk.look_up(rows_, vocab, "token", "uses", hot)
-        assert found.count() == rows_.count()
-        assert found.where("token = 'a' AND token_id IS NOT NULL").count() == 3
+    assert {r.token: r.uses for r in vocab.collect()} == {"a": 2, "b": 1, ",": 1, "c": 1, "<|end|>": 1}
+    expected = [(1, [ids[t] for t in ("a", "b", "a", ",", "c", "<|end|>")]), (2, []), (3, [-1, ids["a"]]), (4, [])]
+    expected += [(5, [ids["a"]]), (5, [ids["b"]]), (None, [ids["a"]])]
+    for rows_per_block in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_block)
+        try:
+            got = [(r.id, r.ids) for r in tk.tokenize(df, ["id"], "text", vocab).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    nothing = tk.token_dictionary(df.where("false"), ["id"], "text")
+    assert nothing.words.count() == nothing.texts.count() == tk.token_ids(nothing, vocab).count() == 0
+
+
+def test_loss_rows_line_up_behind_a_cut(rows):
+    df = rows(
+        "seq int, grp int, prompt_ids array<int>, completion_ids array<int>, prompt_mask array<int>, completion_mask array<int>",
+        [(1, 0, [0, 5], [7, 8, 9], [0, 1], [1, 1, 1]), (2, 0, [3, 4], [6, 1, 0], [1, 1], [1, 1, 0]), (3, 1, [2], [], [1], [])],
+    )
+    made = tk.assemble(df, ["grp"], 0, 4).withColumns(
+        {
+            "advantage": F.col("seq") * 1.5,
+            "of_kept": F.expr("transform(slice(input_ids, 2, 9), x -> -0.1D * x)"),
+            "of_all": F.expr("transform(slice(concat(prompt_ids, completion_ids), 2, 9), x -> -0.2D * x)"),
+            "missing": F.lit(None).cast("array<double>"),
+        }
+    )
+    names = {"logp_new": "of_kept", "logp_ref": "of_all", "logp_old": "missing"}
+    got = tk.loss_rows(made, ["seq"], names, ["logp_ref"]).orderBy("seq", "pos").collect()
+    assert [(r.seq, r.pos, r.token, r.mask, r.advantage) for r in got] == [
+        (1, 1, 7, 1, 1.5), (1, 2, 8, 1, 1.5), (1, 3, 9, 1, 1.5), (2, 1, 6, 1, 3.0), (2, 2, 1, 1, 3.0), (2, 3, 0, 0, 3.0)
+    ]
+    assert all(r.logp_new == pytest.approx(-0.1 * r.token) and r.logp_ref == pytest.approx(-0.2 * r.token) and r.logp_old is None for r in got)
+    short = made.withColumn("of_kept", F.slice("of_kept", 1, 1))
+    with pytest.raises(Exception, match="does not fit"):
+        tk.loss_rows(short, ["seq"], names, ["logp_ref"]).collect()
 
 
 def test_caller_tokenizer(rows):
@@ -117,6 +146,66 @@ def test_bm25_against_brute_force(rows):
     assert {k[1] for k in got if k[0] == 2} == {0, 2} and not any(k[0] == 1 for k in got)
 
 
+def _bm25(docs, queries, k, stops, stems):
+    """{query: [(doc, score), ...]} of the k best by scoring every pair."""
+    analyze = lambda text: [stems.get(w, w) for w in text.split() if w not in stops]
+    words = {d: analyze(t) for d, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {}
+    for own in words.values():
+        for term in set(own):
+            df[term] = df.get(term, 0) + 1
+    out = {}
+    for q, text in queries:
+        scores = {}
+        for d, own in words.items():
+            for term in analyze(text):
+                if term in own:
+                    tf = own.count(term)
+                    idf = math.log(1 + (len(words) - df[term] + 0.5) / (df[term] + 0.5))
+                    scores[d] = scores.get(d, 0.0) + idf * tf / (tf + 0.9 * (0.6 + 0.4 * len(own) / mean))
+        out[q] = sorted(((round(s, 6), d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("left_out", [0.0, 0.5, 0.95])
+def test_bounded_search_misses_nothing(rows, monkeypatch, left_out):
+    pick = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    draw = lambda n: " ".join(pick.choices(vocabulary, weights, k=n))
+    docs = [(i, draw(pick.choice([3, 10, 30, 200]))) for i in range(300)]
+    queries = [(i, draw(pick.choice([1, 4, 12]))) for i in range(25)] + [(90, "w0"), (91, ""), (92, "nowhere"), (93, "w1 w1 w9s")]
+    monkeypatch.setattr(rt, "SEED_POSTINGS", 40)
+    monkeypatch.setattr(rt, "SEEDS", 2)
+    monkeypatch.setattr(rt, "LEFT_OUT", left_out)
+    corpus, asked = rows("doc_id int, text string", docs), rows("query_id int, text string", queries)
+    plain = _bm25(docs, queries, 4, set(), {})
+    stems = {"w9s": "w9", "w2": "w3", "w5": "w40"}
+    # w9 stands for itself, and so does w3
+    listed = _bm25(docs, queries, 4, {"w0", "w7"}, stems)
+    tables = {"stops": rows("word string", [("w0",), ("w7",), ("unused",)]), "stems": rows("word string, stem string", list(stems.items()))}
+    for expected, options in ((plain, {}), (listed, tables)):
+        got = {}
+        for r in rt.bm25_topk(corpus, asked, 4, **options).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.score, r.doc_id))
+        texts = dict(docs)
+        for q, hits in expected.items():
+            shown = []
+            for rank, (score, doc) in enumerate(hits, 1):
+                if texts[doc] not in {texts[d] for _, _, d in shown}:
+                    shown.append((rank, score, doc))
+            assert [(r, d) for r, _, d in sorted(got.get(q, []))] == [(r, d) for r, _, d in shown], q
+            assert [s for _, s, _ in sorted(got.get(q, []))] == pytest.approx([s for _, s, _ in shown], abs=2e-6)
+
+
+def test_search_of_empty_tables(rows):
+    none = rows("doc_id int, text string", [])
+    queries = rows("query_id int, text string", [(1, "a b")])
+    assert rt.bm25_topk(none, queries, 3).count() == 0
+    assert rt.bm25_topk(rows("doc_id int, text string", [(1, "a")]), queries.where("false"), 3).count() == 0
+
+
 def test_log_softmax_is_stable(rows):
     df = rows("l array<double>", [([1000.0, 1001.0],)])
     got = df.select(po.token_logp(F.col("l"), F.lit(1), 2.0).alias("p")).first().p
