@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from rolloom.functions.variant import field
 from rolloom.operators import validation as v
-from rolloom.session import scratch_path
-from rolloom.sources.jsonl import file_catalog, parse_lines, scan_jsonl, write_training_file
+from rolloom.session import materialize, scratch_path
+from rolloom.sources.jsonl import file_catalog, parse_lines, scan_jsonl
 from rolloom.sources.logs import read_job_logs, write_job_logs
 from rolloom.sources.rollouts import read_rollout_groups, request_metrics, request_samples, step_requests
+from rolloom.sources.uploads import write_training_file
 from rolloom.workload import fixtures as fx
 from rolloom.workload.fixtures import with_sql
 
@@ -250,17 +253,38 @@ def upload_catalog(spark, d):
 )
 def training_file_sink(spark, d):
     """Write all chat lines, then the metadata row joined with what reads back."""
-    path = scratch_path(spark, "training-file")
-    metadata = write_training_file(fx.sft_lines(spark, d), path, "chats.jsonl", 7, "raw", ["conv_id"])
+    uploads = scratch_path(spark, "training-file")
+    metadata = write_training_file(fx.sft_lines(spark, d), uploads, "chats.jsonl", 7, "raw", ["conv_id"], "chats")
     digest = F.conv(F.substring(F.md5("raw"), 1, 15), 16, 10).cast("bigint")
-    read = scan_jsonl(spark, f"{path}/data", "part-*").agg(
-        F.count(F.lit(1)).alias("lines"), F.bit_xor(digest).alias("digest")
-    )
+    read = scan_jsonl(spark, f"{uploads}/chats").agg(F.count(F.lit(1)).alias("lines"), F.bit_xor(digest).alias("digest"))
     return metadata.select(
-        "*", read.select("lines").scalar().alias("lines"), read.select("digest").scalar().alias("digest")
+        "purpose", "created_at", "filename", "format", read.select("lines").scalar().alias("lines"), read.select("digest").scalar().alias("digest")
     )
 
 
+@query(
+    "upload_round_trip",
+    with_sql("sft_lines", "dpo_lines")
+    + """SELECT 'chats' AS id, 'training' AS purpose, sum(octet_length(encode(raw)) + 1)::BIGINT AS bytes, 'chats.jsonl' AS filename, 'sft' AS format,
+                true AS written_now, count(*) FILTER (trim(raw) <> '') AS lines FROM sft_all
+         UNION ALL SELECT 'pairs-' || lang, 'training', sum(octet_length(encode(raw)) + 1)::BIGINT, 'data-00000.jsonl', 'dpo', true, count(*)
+         FROM dpo_all JOIN pairs_dpo USING (good_id, bad_id) GROUP BY lang""",
+)
+def upload_round_trip(spark, d):
+    """Uploads written by the sink as the catalog finds them; the pairs have no name, so they show that of their first file."""
+    uploads = scratch_path(spark, "uploads")
+    before = F.lit(int(time.time()))
+    write_training_file(fx.sft_lines(spark, d), uploads, "chats.jsonl", None, "raw", ["conv_id"], "chats")
+    pairs = materialize(fx.dpo_lines(spark, d).select("file", "line_no", "raw"), "pairs")
+    for (file,) in pairs.select("file").distinct().collect():  # one upload per language
+        write_training_file(pairs.where(F.col("file") == file), uploads, None, None, "raw", ["line_no"], file)
+    catalog = materialize(file_catalog(spark, uploads), "catalog")
+    folder = F.element_at(F.split("file", "/"), -2)
+    lines = scan_jsonl(spark, [r.path for r in catalog.select("path").collect()]).groupBy(folder.alias("id")).agg(F.count(F.lit(1)).alias("lines"))
+    recent = (F.col("created_at") >= before) & (F.col("created_at") < before + 3600)
+    return catalog.join(lines, "id").select("id", "purpose", "bytes", "filename", "format", recent.alias("written_now"), "lines")
+
+
 def _requests(spark, d):
     """Rollout groups as step requests: even groups flat, odd groups as a list of two groups;
     completions alternate between one message and a list. Some samples lack a key."""

@@ -2,14 +2,16 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolloom.operators import validation as v
 from rolloom.session import scratch_path
-from rolloom.sources.jsonl import file_catalog, parse_lines, scan_jsonl
+from rolloom.sources.jsonl import file_catalog, line_index, parse_lines, read_line_range, scan_jsonl
 from rolloom.sources.logs import read_job_logs, write_job_logs
+from rolloom.sources.uploads import write_training_file
 from rolloom.sources.rollouts import read_rollout_groups, request_samples
 
 OK = {"role": "user", "content": "hi"}
@@ -42,6 +44,76 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
     assert {(os.path.basename(r.file)[0], r.line_no): r.i for r in got} == expected
 
 
+def test_line_index_serves_later_scans_and_fails_on_other_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"i": {i}}}\n' for i in range(1, 3001)))
+    conf, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(conf, "9000")
+    try:
+        index = line_index(spark, str(tmp_path))
+        assert index.count() > 6 and index.agg(F.sum("lines")).first()[0] == 6000
+        scanned = scan_jsonl(spark, str(tmp_path), index=index)
+        wrong = F.try_variant_get("parsed", "$.i", "bigint") != F.col("line_no")
+        assert scanned.where(wrong).count() == 0 and scanned.count() == 6000
+        one = line_index(spark, f"{tmp_path}/a.jsonl", "*")
+        (file,) = one.select("file").distinct().first()
+        part = read_line_range(spark, one, file, 1490, 1510)
+        assert sorted(r.line_no for r in part.collect()) == list(range(1490, 1511)) and part.where(wrong).count() == 0
+        spark.conf.set(conf, "7000")
+        with pytest.raises(Exception, match="does not fit"):
+            scan_jsonl(spark, str(tmp_path), index=index).agg(F.sum("line_no")).collect()
+        spark.conf.set(conf, "9000")
+        (tmp_path / "b.jsonl").write_text('{"i": 1}\n' * 5000)
+        with pytest.raises(Exception, match="does not fit"):
+            scan_jsonl(spark, str(tmp_path), index=index).agg(F.sum("line_no")).collect()
+    finally:
+        spark.conf.set(conf, before)
+
+
+def _visible(path):
+    return sorted(os.path.relpath(os.path.join(d, f), path) for d, _, files in os.walk(path) for f in files if not f.endswith(".crc"))
+
+
+def test_sink_writes_what_the_catalog_finds(spark, rows, tmp_path):
+    texts = ["", "{bad"] + [json.dumps({"input": 1, "preferred_output": i, "non_preferred_output": "é"}) for i in range(50)]
+    data = rows("i int, record string", [*enumerate(texts), (99, None)]).repartition(3)
+    row = write_training_file(data, str(tmp_path), "pairs", 12, upload="many").first()
+    size = sum(len(t.encode()) + 1 for t in [*texts, ""])
+    assert (row.id, row.purpose, row.bytes, row.created_at, row.filename, row.format) == ("many", "training", size, 12, "pairs", "dpo")
+    names = _visible(tmp_path / "many")
+    assert names[-1] == "metadata.json" and len(names) > 2 and not [n for n in names if n.startswith("_")]
+    stored = "".join((tmp_path / "many" / n).read_text() for n in names[:-1])
+    assert sorted(stored.split("\n")) == sorted([*texts, "", ""])
+    assert scan_jsonl(spark, row.path).count() == 51
+    write_training_file(data, str(tmp_path / "other"), order_by=["i"], upload="sorted")
+    assert (tmp_path / "other" / "sorted" / "data-00000.jsonl").read_text() == "".join(t + "\n" for t in [*texts, ""])
+
+    now = int(time.time())
+    none = write_training_file(data.where("false"), str(tmp_path), upload="none").first()
+    assert (none.bytes, none.filename, none.format) == (0, "data-00000.jsonl", "unknown") and 0 <= none.created_at - now < 100
+    single = data.where("i = 2").coalesce(1)
+    write_training_file(single, str(tmp_path), upload="bare")
+    meta = tmp_path / "bare" / "metadata.json"
+    meta.write_text(json.dumps({k: v for k, v in json.loads(meta.read_text()).items() if k not in ("created_at", "format")}))
+    found = {r.id: r for r in file_catalog(spark, str(tmp_path)).collect()}
+    assert set(found) == {"many", "none", "bare"} and found["many"] == row
+    assert found["bare"].created_at == int(os.stat(tmp_path / "bare" / "data-00000.jsonl").st_mtime)
+    assert (found["bare"].format, found["bare"].path[-16:]) == ("unknown", "data-00000.jsonl")
+
+
+def test_failed_write_leaves_nothing(spark, rows, tmp_path):
+    data = rows("record string", [("{}",), ("one\ntwo",), ("{}",)]).repartition(3)
+    with pytest.raises(Exception, match="line end"):
+        write_training_file(data, str(tmp_path), upload="u")
+    assert _visible(tmp_path) == [] and not [d for d in os.listdir(tmp_path / "u")]
+    good = data.where("record = '{}'")
+    write_training_file(good, str(tmp_path), upload="u")
+    before = _visible(tmp_path)
+    with pytest.raises(Exception, match="upload already"):
+        write_training_file(good, str(tmp_path), upload="u")
+    assert _visible(tmp_path) == before
+
+
 def test_blank_lines_and_broken_lines(rows):
     got = lines(rows, "  \t", "  ", "\x1c", "{bad", ' {"a": 1} ', "3").collect()
     assert [(r.line_no, r.parsed is None) for r in got] == [(4, True), (5, False), (6, False)]
