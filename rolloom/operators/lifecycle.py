@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.names import COMPONENT_NAMES, component_name, is_terminal, level_name, training_status
-from rolloom.plans.ordered import previous_value, running, time_chunk, top_rows, trailing_mean
+from rolloom.plans.ordered import previous_value, row_chunks, running, top_rows, trailing_mean
 from rolloom.session import materialize
 
 ORDER = ["ts", "event_id"]
+BATCH = ["job_id", "batch_id"]
 RECENT_TIMES = 100
 
 
@@ -41,14 +42,14 @@ def short_names(df: DataFrame, mapping: Mapping[str, str] = COMPONENT_NAMES) ->
     )
 
 
-def status_changes(df: DataFrame, chunk: Column, job: Sequence[str] = ("job_id",)) -> DataFrame:
+def status_changes(df: DataFrame, job: Sequence[str] = ("job_id",)) -> DataFrame:
     """Rows whose status differs from the job's previous observation; its first row counts.
 
     A null status is observed as ``unknown``; ``previous_status`` is null in the first row only.
     """
-    known = df.withColumn("status", F.coalesce("status", F.lit("unknown")))
-    seen = previous_value(known, job, ORDER, chunk, F.col("status"), "previous_status")
-    return seen.where(~F.col("status").eqNullSafe(F.col("previous_status")))
+    known, at = row_chunks(df.withColumn("status", F.coalesce("status", F.lit("unknown"))), job, "ts")
+    seen = previous_value(known, job, ORDER, at, F.col("status"), "previous_status")
+    return seen.where(~F.col("status").eqNullSafe(F.col("previous_status"))).drop("_rows_at")
 
 
 def map_status(df: DataFrame, status: str = "status") -> DataFrame:
@@ -84,15 +85,13 @@ def batch_flags(events: DataFrame) -> DataFrame:
     Pending: the last event among its requests and submits is a request made while no
     result was waiting.
     """
-    return _final_state(_with_waiting(events))
+    return _final_state(_with_waiting(*row_chunks(events, BATCH, "ts", "_batch_at")))
 
 
-def _with_waiting(events: DataFrame) -> DataFrame:
+def _with_waiting(events: DataFrame, at: Column | None) -> DataFrame:
     """Add ``waiting``: just before the event, a submitted result of the batch was not yet fetched."""
     moved = F.when(F.col("kind").isin("submit", "get"), F.struct(*ORDER, F.col("kind")))
-    seen = running(
-        events, ["job_id", "batch_id"], ORDER, time_chunk("ts"), {"_moved": ("max", moved)}, False
-    )
+    seen = running(events, BATCH, ORDER, at, {"_moved": ("max", moved)}, False)
     return seen.withColumn("waiting", F.coalesce(F.col("_moved.kind") == "submit", F.lit(False))).drop("_moved")
 
 
@@ -126,23 +125,27 @@ def decide_requests(events: DataFrame, limit: int) -> DataFrame:
     batch is unsure the real set equals the open set, so nothing is refused and the
     state is known. Only the stretches in between are replayed in order.
 
-    Each step reads the one before twice, so their narrow results are stored.
+    Keys too large for a task are cut by rows. Steps over such keys read the one before twice, so their narrow results
+    are stored; without them the first two steps are windows over one shuffle.
     """
-    at = time_chunk("ts")
-    batch, submit = ["job_id", "batch_id"], F.col("kind") == "submit"
-    waiting = materialize(_with_waiting(events), "ledger-waiting")
+    submit = F.col("kind") == "submit"
+    placed, job_at = row_chunks(events, ["job_id"], "ts", "_job_at")
+    placed, batch_at = row_chunks(placed, BATCH, "ts", "_batch_at")
+    kept = [c for c in ("_job_at", "_batch_at") if c in placed.columns]
+    waiting = _with_waiting(placed, batch_at)
+    waiting = waiting if batch_at is None else materialize(waiting, "ledger-waiting")
     moves = F.when(_opens() | submit, F.struct(*ORDER, _opens().alias("open")))
     was_open = F.coalesce(F.col("_before.open"), F.lit(False))
     delta = F.when(_opens() & ~F.col("_was_open"), 1).when(submit & F.col("_was_open"), -1).otherwise(0)
     stepped = (
-        running(waiting, batch, ORDER, at, {"_before": ("max", moves)}, False)
+        running(waiting, BATCH, ORDER, batch_at, {"_before": ("max", moves)}, False)
         .withColumn("_was_open", was_open)
         .withColumn("_delta", delta)
         .drop("_before")
     )
     stepped = materialize(stepped, "ledger-steps")
     counted = materialize(
-        running(stepped, ["job_id"], ORDER, at, {"_open": ("sum", F.col("_delta"))}), "ledger-open"
+        running(stepped, ["job_id"], ORDER, job_at, {"_open": ("sum", F.col("_delta"))}), "ledger-open"
     )
 
     columns = [*events.columns, "waiting"]
@@ -158,16 +161,16 @@ def decide_requests(events: DataFrame, limit: int) -> DataFrame:
     }
     was_unsure = F.coalesce(F.col("_sure.unsure"), F.lit(False))
     change = F.when(enters & ~settles, 1).when(settles & was_unsure, -1).otherwise(0)
-    marked = running(tight, batch, ORDER, at, sure, False).select(
-        *columns, "_was_open", "_delta", "_open", change.alias("_change"),
+    marked = running(tight, BATCH, ORDER, batch_at, sure, False).select(
+        *columns, *kept, "_was_open", "_delta", "_open", change.alias("_change"),
         F.col("_entered.ts").alias("_entered_ts"), F.col("_entered.event_id").alias("_entered_id"),
     )
     marked = materialize(marked, "ledger-unsure")
     unsure = materialize(
-        running(marked, ["job_id"], ORDER, at, {"_unsure": ("sum", F.col("_change"))}), "ledger-stretches"
+        running(marked, ["job_id"], ORDER, job_at, {"_unsure": ("sum", F.col("_change"))}), "ledger-stretches"
     )
     settled = F.when(F.col("_unsure") == 0, 1).otherwise(0)
-    cut = running(unsure, ["job_id"], ORDER, at, {"_stretch": ("sum", settled)}, False).withColumn(
+    cut = running(unsure, ["job_id"], ORDER, job_at, {"_stretch": ("sum", settled)}, False).withColumn(
         "_stretch", F.coalesce("_stretch", F.lit(0))
     )
     open_question = (F.col("_unsure") > 0) | (F.col("_unsure") - F.col("_change") > 0)
@@ -257,10 +260,9 @@ def overdue(events: DataFrame, timeout_seconds: float, now: Column | None = None
 
 def generation_times(events: DataFrame, rows: int = RECENT_TIMES) -> DataFrame:
     """Every submit with the mean generation time of the job's last ``rows`` submits."""
-    return trailing_mean(
-        events.where("kind = 'submit'"), ["job_id"], ORDER, time_chunk("ts"),
-        F.col("generation_time"), rows, "avg_generation_time",
-    )
+    submits, at = row_chunks(events.where("kind = 'submit'"), ["job_id"], "ts")
+    means = trailing_mean(submits, ["job_id"], ORDER, at, F.col("generation_time"), rows, "avg_generation_time")
+    return means.drop("_rows_at")
 
 
 def avg_generation_time(events: DataFrame, rows: int = RECENT_TIMES) -> DataFrame:

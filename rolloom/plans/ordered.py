@@ -16,7 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolloom.session import materialize
+
 _KEY, _CHUNK = "_key", "_chunk"
+#: Rows of a key that one chunk should hold.
+CHUNK_ROWS = 65536
+#: Parts that a crowded key is cut into at once, and the size of its sketch (ranks are off by about 1.3 %).
+SPLITS, SKETCH = 32, 200
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
@@ -48,6 +54,57 @@ def time_chunk(column: Column | str, unit: str = "minute") -> Column:
     return F.date_trunc(unit, column)
 
 
+def row_chunks(
+    df: DataFrame, keys: Sequence[str], by: str, name: str = "_rows_at", rows: int | None = None
+) -> tuple[DataFrame, Column | None]:
+    """Add ``name`` and give its Column: a chunk for the order ``by`` (integer, date or time) that holds about ``rows`` rows of its key, however dense these lie.
+
+    Keys of at most ``rows`` rows are one chunk. A larger key is cut at quantiles of a sketch of its values, into at most
+    ``SPLITS`` parts, and parts that are still too large are cut again. Borders are stored, so every later read sees the same. Equal
+    values stay together; nulls come first, as in an ascending order.
+
+    Costs a count per key (partly before the shuffle), and for each further level a sketch of the crowded keys' values. A table
+    without crowded keys comes back as it is, with None for the chunk: the functions below then use plain windows, which need neither a
+    chunk table nor a second shuffle. Borders number about a ``rows``-th of the rows, and AQE judges how to join them.
+    """
+    rows = rows or CHUNK_ROWS
+    kind = df.schema[by].dataType
+    value = F.unix_micros(F.col(by).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(by).cast("bigint")
+    key = F.struct(*keys, F.lit(0).alias("_one"))
+    out, first = df.withColumn(name, F.lit(0).cast("bigint")), True
+    while True:
+        numbered = out.select(key.alias(_KEY), F.col(name).alias(_CHUNK), value.alias("_v"))
+        counts = numbered.groupBy(_KEY, _CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        crowded = materialize(counts.where((F.col("_n") > rows) & (F.col("_low") < F.col("_high"))), "crowded")
+        if crowded.isEmpty():
+            return (df, None) if first else (out, F.col(name))
+        first = False
+        # quantiles are asked for at fixed places; a key that needs fewer parts takes some of them
+        places = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+        parts = F.least(F.lit(SPLITS), F.ceil(F.col("_n") / rows))
+        chosen = F.transform(F.sequence(F.lit(1).cast("bigint"), parts - 1), lambda i: F.round(i * SPLITS / parts).cast("int"))
+        sketches = (
+            numbered.where("_v IS NOT NULL")
+            .join(crowded, [_KEY, _CHUNK])
+            .groupBy(_KEY, _CHUNK, "_n", "_low", "_high")
+            .agg(F.kll_sketch_agg_bigint("_v", F.lit(SKETCH)).alias("_sketch"))
+        )
+        # a border at the least value would cut off nothing
+        taken = F.transform(chosen, lambda i: F.element_at("_places", i))
+        found = F.filter(F.array_distinct(taken), lambda b: b > F.col("_low"))
+        sketches = sketches.withColumn("_places", F.kll_sketch_get_quantile_bigint("_sketch", places))
+        borders = materialize(
+            sketches.select(_KEY, _CHUNK, F.when(F.size(found) > 0, found).otherwise(F.array("_high")).alias("_borders")), "borders"
+        )
+        passed = F.size(F.filter("_borders", lambda b: b <= F.col("_v")))
+        tagged = out.withColumn(_KEY, key).withColumn(_CHUNK, F.col(name)).withColumn("_v", value)
+        out = (
+            tagged.join(borders, [_KEY, _CHUNK], "left")
+            .withColumn(name, F.col(_CHUNK) * (SPLITS + 1) + F.coalesce(F.when(F.col("_borders").isNotNull(), passed), F.lit(0)))
+            .drop(_KEY, _CHUNK, "_v", "_borders")
+        )
+
+
 def _tag(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
     # Structs compare equal also where a field is null, so joining on them loses
     # no rows. With no keys the order is global.
@@ -64,14 +121,17 @@ def grouped_rank(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    chunk: Column,
+    chunk: Column | None,
     name: str = "rn",
 ) -> DataFrame:
     """Add the 1-based position of each row within its key.
 
     ``order`` must be total (ties are broken arbitrarily) and ``chunk`` must not
-    decrease along it. ``keys=[]`` gives a global position.
+    decrease along it. ``keys=[]`` gives a global position. Here and below a chunk of None says that
+    no key is too large for a task.
     """
+    if chunk is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     tagged = _tag(df, keys, chunk)
     offsets = (
         tagged.groupBy(_KEY, _CHUNK)
@@ -92,7 +152,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    chunk: Column,
+    chunk: Column | None,
     values: Mapping[str, tuple[str, Column]],
     include_current: bool = True,
 ) -> DataFrame:
@@ -100,6 +160,9 @@ def running(
 
     With ``include_current=False`` the frame ends at the previous row.
     """
+    if chunk is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+        return df.withColumns({name: _LOCAL[kind](value).over(plain) for name, (kind, value) in values.items()})
     tagged = _tag(df, keys, chunk)
     for name, (_, value) in values.items():
         tagged = tagged.withColumn(f"_v_{name}", value)
@@ -135,11 +198,13 @@ def previous_value(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    chunk: Column,
+    chunk: Column | None,
     value: Column,
     name: str = "previous",
 ) -> DataFrame:
     """Add ``value`` of the row before this one within its key (null for the first)."""
+    if chunk is None:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     tagged = _tag(df, keys, chunk).withColumn("_v", value)
     across = Window.partitionBy(_KEY).orderBy(_CHUNK)
     lasts = (
@@ -161,7 +226,7 @@ def trailing_mean(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    chunk: Column,
+    chunk: Column | None,
     value: Column,
     rows: int,
     name: str = "trailing_mean",
@@ -171,6 +236,9 @@ def trailing_mean(
     Rows are numbered, cut into blocks much longer than the frame, and the tail
     of each block is copied into the next one, so each block is self-contained.
     """
+    if chunk is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), Window.currentRow)
+        return df.withColumn(name, F.avg(value).over(plain))
     size = max(rows * 8, 1024)
     numbered = grouped_rank(df, keys, order, chunk, "_rank").withColumn("_v", value)
     block = F.floor((F.col("_rank") - 1) / F.lit(size))

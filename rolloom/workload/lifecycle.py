@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from rolloom.functions import names as nm
 from rolloom.operators import lifecycle as lc
-from rolloom.plans.ordered import time_chunk
 from rolloom.workload import fixtures as fx
 from rolloom.workload.fixtures import with_sql
 
@@ -63,7 +62,7 @@ def noise_lines(spark, d):
 )
 def status_changes(spark, d):
     logs = fx.job_logs(spark, d).select("job_id", "ts", "event_id", "status")
-    return lc.status_changes(logs, time_chunk("ts")).select("job_id", "event_id", "status", "previous_status")
+    return lc.status_changes(logs).select("job_id", "event_id", "status", "previous_status")
 
 
 @query(

@@ -80,3 +80,44 @@ def test_top_rows(skewed):
 def test_no_window_over_a_whole_key(skewed):
     plan = o.grouped_rank(skewed, ["key"], ORDER, o.step_chunk("ts", 16))._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(_key" in plan and "_chunk" in plan.split("row_number() windowspecdefinition(")[1][:40]
+
+
+def test_row_chunks_follow_the_rows_and_not_the_clock(spark):
+    """One job with a million events in one minute beside 2,000 sparse ones."""
+    dense = spark.range(1_000_000).select(F.lit(0).alias("job"), F.expr("timestamp_micros(CAST(pmod(id * 7919, 1000003) * 59 AS BIGINT))").alias("ts"))
+    sparse = spark.range(2_000).select((F.col("id") % 40 + 1).cast("int").alias("job"), F.expr("timestamp_seconds(id * 86400)").alias("ts"))
+    chunked, at = o.row_chunks(dense.unionByName(sparse), ["job"], "ts")
+    table = chunked.groupBy("job", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    sizes = [r.n for r in table.where("job = 0").orderBy("at").collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * sum(sizes) / len(sizes) and sum(sizes) == 1_000_000
+    assert table.count() < 100
+    ordered = [(r.low, r.high) for r in table.where("job = 0").orderBy("at").collect()]
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    calm, none = o.row_chunks(sparse, ["job"], "ts")
+    assert none is None and calm.columns == ["job", "ts"]
+
+
+@pytest.mark.parametrize("rows", [7, 100, 2500])
+def test_row_chunks_serve_all_helpers(skewed, rows, monkeypatch):
+    monkeypatch.setattr(o, "SPLITS", 4)
+    df = skewed.withColumn("ts", F.when(F.col("id") % 29 != 0, F.col("ts")))
+    chunked, at = o.row_chunks(df, ["key"], "ts", rows=rows)
+    got = o.grouped_rank(chunked, ["key"], ORDER, at).withColumn("want", F.row_number().over(plain()))
+    assert same(got, "rn", "want") and got.count() == df.count()
+    summed = o.running(chunked, ["key"], ORDER, at, {"s": ("sum", F.col("v"))}, False)
+    frame = plain().rowsBetween(Window.unboundedPreceding, -1)
+    assert same(summed.withColumn("want", F.sum("v").over(frame)), "s", "want")
+    assert same(o.previous_value(chunked, ["key"], ORDER, at, F.col("v")).withColumn("want", F.lag("v").over(plain())), "previous", "want")
+    biggest = chunked.where("ts IS NOT NULL").groupBy("key", at).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("kinds"))
+    assert biggest.where(F.col("n") > rows).where("kinds > 1").count() == 0
+
+
+def test_no_chunk_means_plain_windows(skewed):
+    ranked = o.grouped_rank(skewed, ["key"], ORDER, None).withColumn("want", F.row_number().over(plain()))
+    assert same(ranked, "rn", "want")
+    means = o.trailing_mean(skewed, ["key"], ORDER, None, F.col("v"), 9, "m")
+    assert same(means.withColumn("want", F.avg("v").over(plain().rowsBetween(-8, 0))), "m", "want")
+    assert same(o.previous_value(skewed, ["key"], ORDER, None, F.col("v")).withColumn("want", F.lag("v").over(plain())), "previous", "want")
+    counted = o.running(skewed, ["key"], ORDER, None, {"n": ("count", F.col("v"))})
+    frame = plain().rowsBetween(Window.unboundedPreceding, 0)
+    assert same(counted.withColumn("want", F.count("v").over(frame)), "n", "want")
