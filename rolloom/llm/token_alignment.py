@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 from rolloom.session import materialize, scratch_path
 
 #: Bytes of text whose links share one table of pairs.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Segments that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 100
+REMEMBERED, LONGEST = 100_000, 100
 #: Segments encoded in one call.
 BATCH = 2000
 #: How the second tokenizer writes a space.
@@ -47,8 +47,8 @@ class Segment(NamedTuple):
     n_b: int
     n_groups: int
     groups: str
-    #: Linked ids as a * (size of B) + b, one entry per link.
-    pairs: tuple[int, ...]
+    #: Linked ids as a * (size of B) + b, eight bytes per link.
+    pairs: bytes
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,7 +102,7 @@ class Aligner:
                 groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
                 i, j = from_i, from_j = i + 1, j + 1
                 if i == len(a):
-                    return Segment(len(a), len(b), len(groups), ";".join(groups), tuple(pairs))
+                    return Segment(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes())
                 end_a, end_b = end_a + len(left[i]), end_b + len(right[j])
             elif end_a < end_b:
                 i += 1
@@ -173,8 +173,8 @@ class _Block:
                 found += [] if whole is None else [whole]
         self.segments, self.cut = found, cut
         number = lambda name: np.array([0 if s is None else getattr(s, name) for s in found], np.int64)
-        links = np.array([0 if s is None else len(s.pairs) for s in found], np.int64)
-        flat = np.fromiter((p for s in found if s is not None for p in s.pairs), np.int64)
+        links = np.array([0 if s is None else len(s.pairs) // 8 for s in found], np.int64)
+        flat = np.frombuffer(b"".join([s.pairs for s in found if s is not None]), np.int64)
         self.pairs, numbered = np.unique(flat, return_inverse=True)
         begins = np.cumsum(links) - links
         sizes = np.array([len(c) for c in cut], np.int64)
