@@ -78,6 +78,9 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
+        self.shown = [f"{i}{mark}" for mark in ",|" for i in range(self.n_a)] + [f"{i}{mark}" for mark in ",;\n" for i in range(self.n_b)]
         self.parts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.known: dict[str, Segment | None] = {}
 
@@ -87,37 +90,46 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
 
-    def link(self, segment: str, a: list[int], b: list[int]) -> Segment | None:
-        """None if the tokens' bytes are not those of the segment behind a space."""
+    def spelled(self, segment: str, a: list[int], b: list[int]) -> bool:
+        """Whether both rows of tokens have the bytes of the segment behind a space."""
         whole = (" " + segment).encode()
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != whole or b"".join(right) != whole:
-            return None
-        pairs, groups, many = [], [], len(self.b_bytes)
-        i = j = from_i = from_j = 0
-        end_a, end_b = len(left[0]), len(right[0])
-        while True:
-            pairs.append(a[i] * many + b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                i, j = from_i, from_j = i + 1, j + 1
-                if i == len(a):
-                    return Segment(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes())
-                end_a, end_b = end_a + len(left[i]), end_b + len(right[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(left[i])
-            else:
-                j += 1
-                end_b += len(right[j])
+        return whole == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
+
+    def link(self, segments: list[str], left: list[list[int]], right: list[list[int]]) -> list[Segment | None]:
+        """All segments at once, as if they stood behind each other; None where tokens don't spell their segment."""
+        whole = b"".join([b" " + s.encode() for s in segments])
+        a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (left, right))
+        if whole != b"".join([self.a_bytes[i] for i in a.tolist()]) or whole != b"".join([self.b_bytes[i] for i in b.tolist()]):
+            good = [k for k, s in enumerate(segments) if self.spelled(s, left[k], right[k])]
+            some = self.link(*([side[k] for k in good] for side in (segments, left, right))) if good else []
+            out: list[Segment | None] = [None] * len(segments)
+            for k, found in zip(good, some):
+                out[k] = found
+            return out
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        counts = [np.array([len(ids) for ids in side], np.int64) for side in (left, right)]
+        edges = ends_a[np.cumsum(counts[0]) - 1]
+        # each stretch between neighbouring ends of either side lies in one token of both: these are the links
+        every, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        pairs = a[np.searchsorted(ends_a, every)] * len(self.b_bytes) + b[np.searchsorted(ends_b, every)]
+        links, groups = (np.diff(np.searchsorted(e, edges, "right"), prepend=0) for e in (every, common))
+        # ids in the order of the groups, A before B, each with the mark behind it
+        last_a, last_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
+        marked = np.concatenate([a + last_a * self.n_a, 2 * self.n_a + b + (last_b + 0 + np.isin(ends_b, edges)) * self.n_b])
+        place = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        shown = "".join(map(self.shown.__getitem__, marked[np.argsort(place, kind="stable")].tolist())).split("\n")
+        data, at = pairs.tobytes(), np.concatenate(([0], np.cumsum(links * 8))).tolist()
+        return [
+            Segment(*numbers, text, data[at[k] : at[k + 1]])
+            for k, (*numbers, text) in enumerate(zip(counts[0].tolist(), counts[1].tolist(), groups.tolist(), shown))
+        ]
 
     def encode(self, segments: list[str]) -> list[Segment | None]:
         out = []
         for at in range(0, len(segments), BATCH):
             some = segments[at : at + BATCH]
-            left = self.a.encode_batch([" " + s for s in some], add_special_tokens=False)
-            right = self.b.encode(some, num_threads=1)
-            out += [self.link(s, a.ids, b) for s, a, b in zip(some, left, right)]
+            left = self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)
+            out += self.link(some, [e.ids for e in left], self.b.encode(some, num_threads=1))
         return out
 
     def learn(self, segments: list[str]) -> list[Segment | None]:
