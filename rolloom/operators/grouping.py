@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolloom.plans.ordered import grouped_rank, seeded_hash
 
@@ -73,15 +74,18 @@ def align(
             .withColumn("inv_idx", F.explode(F.coalesce(slots, F.array("inv_idx"))))
             .drop("_len", "_max")
         )
-    # The first 8 hex digits are enough to choose among any real trace length.
-    draw = F.conv(F.substring(seeded_hash(seed, *ROLLOUT, "_slot"), 1, 8), 16, 10).cast("bigint")
-    fillers = (
-        sized.where("_len < _max")
-        .withColumn("_slot", F.explode(F.expr("sequence(_len + 1, _max)")))
-        .select(*ROLLOUT, (F.pmod(draw, F.col("_len")) + 1).alias("inv_idx"), "_slot")
-    )
-    copies = inv.join(fillers, [*ROLLOUT, "inv_idx"]).withColumn("inv_idx", F.col("_slot")).drop("_slot")
-    return inv.unionByName(copies)
+    # Each filler slot draws one of the rollout's own invocations (the first 8 hex digits are enough to choose among
+    # any real trace length); an invocation then takes its own slot and those that drew it, in one pass over the rows.
+    def drawn(slot: Column) -> Column:
+        number = F.conv(F.substring(seeded_hash(seed, *ROLLOUT, slot), 1, 8), 16, 10).cast("bigint")
+        return F.struct((F.pmod(number, F.col("_len")) + 1).alias("from"), slot.alias("slot"))
+
+    places = F.when(F.col("_len") < F.col("_max"), F.transform(F.sequence(F.col("_len") + 1, F.col("_max")), drawn))
+    own = F.transform(F.filter("_fill", lambda f: f["from"] == F.col("inv_idx")), lambda f: f["slot"].cast("bigint"))
+    slots = F.concat(F.array(F.col("inv_idx").cast("bigint")), F.coalesce(own, F.array().cast("array<bigint>")))
+    slots = slots.cast(T.ArrayType(inv.schema["inv_idx"].dataType))
+    filled = inv.join(sized.withColumn("_fill", places), ROLLOUT).withColumn("inv_idx", F.explode(slots))
+    return filled.drop("_len", "_max", "_fill")
 
 
 def to_groups(aligned: DataFrame, bounded: bool = False) -> DataFrame:

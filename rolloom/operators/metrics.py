@@ -43,12 +43,26 @@ def terminated_stats(df: DataFrame, batch: Sequence[str], eos: int) -> DataFrame
     )
 
 
-def window_means(metrics: DataFrame, run: Sequence[str], logging_steps: int, mode: str = "train") -> DataFrame:
-    """Mean of each metric over every ``logging_steps`` steps; ``eval_`` is put before
+def window_sums(metrics: DataFrame, run: Sequence[str], logging_steps: int, mode: str = "train") -> DataFrame:
+    """``total`` and ``n`` of each metric over every ``logging_steps`` steps: sums of parts can be added up. ``eval_`` is put before
     the names in evaluation. Steps count from 0."""
     name = F.concat(F.lit("eval_"), F.col("name")) if mode == "eval" else F.col("name")
     window = F.floor(F.col("step") / logging_steps)
-    return metrics.groupBy(*run, window.alias("window"), name.alias("name")).agg(F.avg("value").alias("value"))
+    return metrics.groupBy(*run, window.alias("window"), name.alias("name")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+
+
+def add_sums(sums: DataFrame, run: Sequence[str]) -> DataFrame:
+    """``window_sums`` of several parts as those of the whole."""
+    return sums.groupBy(*run, "window", "name").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def mean_of_sums(sums: DataFrame, run: Sequence[str]) -> DataFrame:
+    return sums.select(*run, "window", "name", F.try_divide("total", "n").alias("value"))
+
+
+def window_means(metrics: DataFrame, run: Sequence[str], logging_steps: int, mode: str = "train") -> DataFrame:
+    """Mean of each metric over every ``logging_steps`` steps, named as in ``window_sums``."""
+    return mean_of_sums(window_sums(metrics, run, logging_steps, mode), run)
 
 
 def recent(df: DataFrame, window: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -69,21 +83,31 @@ def completions_table(
 
     Reads long rows ``step, sample_id, prompt, completion, reward_name, value``. With ``unique_prompts``
     the first row of each prompt in ``order`` within the step is kept.
+
+    Texts are keys by their 16-byte addresses only; the texts themselves are shuffled once, for the samples that the table
+    keeps, when they join it at the end.
     """
+    address = lambda c: F.unhex(F.md5(F.col(c)))
+    addressed = df.withColumn("_prompt", address("prompt")).withColumn("_completion", address("completion"))
+    sample = ["step", "sample_id", "_prompt", "_completion"]
+    narrow = addressed.drop("prompt", "completion")
     wide = (
-        df.groupBy("step", "sample_id", "prompt", "completion", *[o for o in order if o not in ("step", "sample_id")])
+        narrow.groupBy(*sample, *[o for o in order if o not in ("step", "sample_id")])
         .pivot("reward_name", list(rewards))
         .agg(F.first("value"))
     )
-    columns = ["step", "prompt", "completion", *rewards]
-    if not unique_prompts:
-        return wide.select("sample_id", *columns)
-    kept = ["sample_id", "completion", *rewards]
-    return (
-        wide.groupBy("step", "prompt")
-        .agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("_first"))
-        .select("_first.sample_id", "step", "prompt", "_first.completion", *[f"_first.{r}" for r in rewards])
-    )
+    columns = ["sample_id", "step", "prompt", "completion", *rewards]
+    if unique_prompts:
+        kept = ["sample_id", "_completion", *rewards]
+        firsts = wide.groupBy("step", "_prompt").agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("_first"))
+        wide = firsts.select("step", "_prompt", "_first.*")
+    # null texts have null addresses: a struct is equal also where a field is null
+    key = F.struct(*sample)
+    texts = addressed.withColumn("_key", key)
+    if unique_prompts:
+        texts = texts.join(wide.select(key.alias("_key")), "_key", "left_semi")
+    texts = texts.groupBy("_key").agg(F.first("prompt").alias("prompt"), F.first("completion").alias("completion"))
+    return wide.withColumn("_key", key).join(texts, "_key").select(*columns)
 
 
 def is_val_step(step: Column, every: int, last: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:
@@ -23,3 +26,33 @@ def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "
         .start()
     )
     query.awaitTermination()
+
+
+def merge_available(
+    stream: DataFrame, table: str, checkpoint: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Fold what has arrived into a stored table and stop.
+
+    ``partial`` turns a micro-batch into rows of the table, ``merge`` joins rows of several of them into fewer. The stored table and a
+    micro-batch's partial rows are merged into a new version named after the micro-batch; a version is complete when its folder has the
+    writer's mark. A replayed micro-batch starts from the version before its own and overwrites what it had written, so
+    nothing counts twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = partial(batch)
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(f"{table}/version={batch_id - 1}")
+            rows = before.unionByName(rows)
+        merge(rows).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+
+
+def latest_version(spark: SparkSession, table: str) -> DataFrame:
+    """The newest version that ``merge_available`` has stored."""
+    versions = spark.read.parquet(table)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")

@@ -1,33 +1,36 @@
-"""Streaming queries: the driver tables arrive in time slices.
+"""Streaming queries: the driver tables arrive in slices of ``SLICE_ROWS`` rows in the order of time.
 
-A slice is written to the stream's input folder, the stream is run over what is new and
-stopped, then the next slice is written. State and position survive in the checkpoint.
+Each slice is one file and one micro-batch, so a micro-batch is bounded whatever the table. The stream is run over what is new and
+stopped, ``RUNS`` times; state and position survive in the checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.session import scratch_path
+from rolloom.operators import metrics as mt
+from rolloom.plans.ordered import grouped_rank, row_chunks
+from rolloom.session import materialize, scratch_path
 from rolloom.sources.logs import write_job_logs
 from rolloom.streaming.ledger import ROCKSDB, batch_ledger_stream
 from rolloom.streaming.overdue import overdue_stream
-from rolloom.streaming.sinks import run_available
+from rolloom.streaming.sinks import latest_version, run_available
 from rolloom.streaming.tail import tail_logs
+from rolloom.streaming.windows import recent_stream, window_means_stream
 from rolloom.workload import fixtures as fx
 from rolloom.workload.fixtures import with_sql
 from rolloom.workload.lifecycle import LEDGER_SQL, LIMIT, _RECENT
+from rolloom.workload.runs import ORACLES as RUNS_SQL
 
 QUERIES, ORACLES = {}, {}
 
 # Id of the events that close a stream.
 CLOSING = -1
 
-# The month of events in three slices.
-SLICES = ("2024-01-11", "2024-01-21", "9999-01-01")
+SLICE_ROWS, RUNS = 4000, 3
 
 
 def query(name: str, sql: str | None = None):
@@ -40,28 +43,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _in_slices(
-    rows: DataFrame, write: Callable[[DataFrame], None], run: Callable[[], None], bounds: Sequence[str] = SLICES
-) -> None:
-    low = "0001-01-01"
-    for high in bounds:
-        write(rows.where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))))
-        run()
-        low = high
+def _in_slices(rows: DataFrame, write: Callable[[DataFrame], None], run: Callable[[], None]) -> None:
+    """Rows without a time come first, as in any ascending order."""
+    chunked, at = row_chunks(rows, [], "ts")
+    ranked = materialize(grouped_rank(chunked, [], ["ts", "event_id"], at, "_rank"), "ranked")
+    slices = -(-ranked.count() // SLICE_ROWS)
+    each = max(-(-slices // RUNS), 1)
+    for number in range(slices):
+        first = number * SLICE_ROWS
+        part = ranked.where((F.col("_rank") > first) & (F.col("_rank") <= first + SLICE_ROWS))
+        write(part.select(*rows.columns).coalesce(1))  # SLICE_ROWS rows
+        if (number + 1) % each == 0 or number + 1 == slices:
+            run()
+
+
+def _arrive(rows: DataFrame, source: str, run: Callable[[DataFrame], None]) -> None:
+    """Write slices as files to ``source`` and call ``run`` with the stream of what is new, a file per micro-batch."""
+    reader = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    _in_slices(rows, lambda part: part.write.mode("append").parquet(source), lambda: run(reader.parquet(source)))
 
 
 def _feed(rows: DataFrame, label: str, stream: Callable[[DataFrame], DataFrame], mode: str) -> str:
     """Run ``stream`` over the rows in slices; the folder of its output."""
     spark = rows.sparkSession
     source, output, checkpoint = (scratch_path(spark, f"{label}-{part}") for part in ("in", "out", "checkpoint"))
-
-    def write(part: DataFrame) -> None:
-        part.write.mode("append").parquet(source)
-
-    def run() -> None:
-        run_available(stream(spark.readStream.schema(rows.schema).parquet(source)), output, checkpoint, mode)
-
-    _in_slices(rows, write, run)
+    _arrive(rows, source, lambda new: run_available(stream(new), output, checkpoint, mode))
     return output
 
 
@@ -147,3 +153,22 @@ def streaming_log_tail(spark, d):
         logs, lambda part: write_job_logs(part, path), lambda: run_available(tail_logs(spark, path), output, checkpoint)
     )
     return spark.read.parquet(output).groupBy("job_id", "level", "message").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("streaming_window_means", RUNS_SQL["logging_window_means"])
+def streaming_window_means(spark, d):
+    """Means of log windows that fill over all slices; the stored sums are merged after each."""
+    rows = fx.user_events(spark, d, "value", "event_type").select("*", (F.col("rn") - 1).alias("step"), F.col("event_type").alias("name"))
+    source, table, checkpoint = (scratch_path(spark, f"means-{part}") for part in ("in", "table", "checkpoint"))
+    _arrive(rows, source, lambda new: window_means_stream(new, table, checkpoint, ["user_id"], 10, "eval"))
+    means = mt.mean_of_sums(latest_version(spark, table), ["user_id"])
+    return means.select(F.col("user_id").alias("run_id"), "window", "name", F.round("value", 6).alias("value"))
+
+
+@query("streaming_recent_completions", RUNS_SQL["recent_completions"])
+def streaming_recent_completions(spark, d):
+    """The last six rows of every forty of a user, kept up as rows arrive."""
+    rows = fx.user_events(spark, d).withColumn("window", F.expr("(rn - 1) DIV 40"))
+    source, table, checkpoint = (scratch_path(spark, f"recent-{part}") for part in ("in", "table", "checkpoint"))
+    _arrive(rows, source, lambda new: recent_stream(new, table, checkpoint, ["user_id", "window"], ["rn"], 6))
+    return latest_version(spark, table).select("user_id", "window", "event_id")

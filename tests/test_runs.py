@@ -1,6 +1,7 @@
 """Tokens, policy diagnostics, metrics, logs and batch ledgers."""
 
 import math
+import os
 import random
 
 import pytest
@@ -323,6 +324,71 @@ def test_streaming_ledger_equals_the_simulation(spark, rows):
     assert got == want
 
 
+def simulate_with_expiry(events, limit, seconds):
+    import datetime
+
+    jobs, kept = {}, datetime.timedelta(seconds=seconds)
+    for job, batch, kind, at, _, _ in events:
+        s = jobs.setdefault(job, {"pending": {}, "done": {}, "refused": 0})
+        for table in (s["pending"], s["done"]):
+            for old in [i for i, t in table.items() if t < at - kept]:
+                del table[old]
+        if kind == "request" and batch not in s["done"] and batch not in s["pending"]:
+            if len(s["pending"]) < limit:
+                s["pending"][batch] = at
+            else:
+                s["refused"] += 1
+        elif kind == "submit":
+            s["pending"].pop(batch, None)
+            s["done"][batch] = at
+        elif kind == "get":
+            s["done"].pop(batch, None)
+    return jobs
+
+
+def test_streaming_ledger_retires_what_is_old(spark, rows):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    events = random_events(12, 600, 4, 9)
+    start, end = events[0][3], events[-1][3]
+    source, output, checkpoint = (scratch_path(spark, f"expiry-test-{p}") for p in ("in", "out", "checkpoint"))
+
+    def arrive(some):
+        chunk = rows(EVENTS, some)
+        chunk.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(chunk.schema).parquet(source)
+        run_available(batch_ledger_stream(stream, 3, expire=900.0), output, checkpoint, "update")
+
+    def last():
+        newest = F.max_by(F.struct("pending", "completed_count", "refused"), F.struct("events", "micro_batch")).alias("s")
+        return {r.job_id: (r.s.pending, r.s.completed_count, r.s.refused) for r in spark.read.parquet(output).groupBy("job_id").agg(newest).collect()}
+
+    for part in range(3):
+        arrive(events[part * 200 : (part + 1) * 200])
+    want = {j: (sorted(s["pending"]), len(s["done"]), s["refused"]) for j, s in simulate_with_expiry(events, 3, 900).items()}
+    plain = {j: (sorted(s["pending"]), len(s["done"]), s["refused"]) for j, s in simulate(events, 3).items()}
+    assert last() == want and want != plain and any(p or n for p, n, _ in want.values())
+    # no job but a new one goes on: timers retire the rest once the watermark has passed
+    for number in range(2):
+        arrive([(99, 1, "get", end + (end - start) * (number + 9), 10_000 + number, 0.0)])
+    got = last()
+    assert got.pop(99) == ([], 0, 0) and got == {j: ([], 0, refused) for j, (_, _, refused) in want.items()}
+
+
+def test_replayed_micro_batches_count_once(spark, rows):
+    from rolloom.streaming.sinks import latest_version, merge_available
+
+    source, table, checkpoint = (scratch_path(spark, f"merge-test-{p}") for p in ("in", "table", "checkpoint"))
+    add = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    for part in range(3):
+        rows("k string, n bigint", [("a", 1), ("b", part)]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, n bigint").parquet(source)
+        merge_available(stream, table, checkpoint, add, add)
+        if part == 1:  # lose the record of the last commit: its micro-batch runs again
+            for name in ("1", ".1.crc"):
+                os.remove(f"{checkpoint.removeprefix('file:')}/commits/{name}")
+    assert {r.k: r.n for r in latest_version(spark, table).collect()} == {"a": 3, "b": 3}
+
+
 def test_overdue_and_status(rows):
     import datetime as dt
 
