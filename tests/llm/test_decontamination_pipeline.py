@@ -137,6 +137,17 @@ def test_stage_edges(spark, rows, number):
     assert stage(spark, rows(schema, []), SF).collect() == []
 
 
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES) - 1))
+def test_clashing_columns_keep_their_values(rows, spark, number):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, lang_pred string, copies int, digest string"
+    words = [f"some words here and there number {i} of a longer text with more in it" for i in range(6)]
+    data = [(i, f"{w} {w[::-1]}", "en", "a", 1, 7.5, 99, "mine", -3, "d") for i, w in enumerate(words)]
+    result = corpus_pipeline.STAGES[number][1](spark, rows(schema, data), SF)
+    assert result.columns == [c.split()[0] for c in schema.split(", ")]
+    found = result.collect()
+    assert found and all(tuple(r) in data for r in found)
+
+
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert near_dedup.SHINGLE == 5 and near_dedup.SIMILAR == 0.8
