@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolloom.llm.components import components
 from rolloom.llm.texts import Codes, byte_words, window_codes
-from rolloom.session import materialize
+from rolloom.session import materialize, scratch_path
 
 #: Words in a shingle, and least similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -21,12 +21,20 @@ SHINGLE, SIMILAR = 5, 0.8
 NEAR, FAR = 0.5, 0.75
 #: Share of a text's shingles in a lead that it is not linked to from which it keeps its own sketches.
 CONTAINED = 0.5
-#: Pairs of different classes per node up to which a group is compared pair by pair.
-DIRECT = 16
+#: Leads outside a group's largest class in the first round, and how many times more each next round has.
+LEADS, GROWTH = 16, 4
+#: Least shingle hashes in a signature, and the share of them that two texts must have in common to be compared. Of two
+#: texts at similarity 0.8 the signatures share 0.8 +- 0.05 of 64, so half is missed with probability below 1e-7; shorter texts
+#: have all their hashes in it, where half is always reached.
+SIGNATURE, COMMON = 64, 0.5
+#: Bytes of texts that a task remembers while it compares.
+REMEMBERED = 16_000_000
 #: Sketches per text, and minima in a sketch. At similarity 0.8 a sketch agrees with probability
 #: 0.8^3, so a pair is missed by all 16 with probability 1e-5.
 SKETCHES, MINIMA = 16, 3
 
+PAIRS = "lead long, node long, linked boolean, keys array<long>"
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _SEEDS = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
 
@@ -93,7 +101,8 @@ def aligned(left: np.ndarray, right: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of two code arrays within ``band`` of the diagonal.
 
     Common ends are matched first. The rest is aligned row by row in bit vectors: a bit stands for a
-    position of ``left``, and a row sees only the matches that lie in its band.
+    position of ``left``, and a row sees only the matches that lie in its band. The vector holds the positions
+    that a step of rows can see and slides along, so the work is length times band.
     """
     short = min(len(left), len(right))
     differ = np.nonzero(left[:short] != right[:short])[0]
@@ -105,19 +114,28 @@ def aligned(left: np.ndarray, right: np.ndarray, band: int) -> int:
     differ = np.nonzero(left[::-1][:short] != right[::-1][:short])[0]
     tail = int(differ[0]) if len(differ) else short
     left, right = left[: len(left) - tail], right[: len(right) - tail]
-    where: dict[int, int] = {}
-    for at, code in enumerate(left.tolist()):
-        where[code] = where.get(code, 0) | (1 << at)
-    full = (1 << len(left)) - 1
-    row, wide = full, (1 << (2 * band + 1)) - 1
-    for at, code in enumerate(right.tolist()):
-        match = where.get(code)
-        if match:
-            low = at - band
-            match &= (wide << low) if low >= 0 else (wide >> -low)
-            both = row & match
-            row = ((row + both) | (row - both)) & full
-    return head + tail + len(left) - row.bit_count()
+    codes, others = left.tolist(), right.tolist()
+    wide, step = (1 << (2 * band + 1)) - 1, max(1024, 2 * band + 1)
+    row, low, high, matched = 0, 0, 0, 0
+    for first in range(0, len(others), step):
+        # positions before the band of all further rows are settled; those that the next rows may see come in
+        start, end = min(len(codes), max(0, first - band)), min(len(codes), first + step + band)
+        gone = start - low
+        matched += gone - (row & ((1 << gone) - 1)).bit_count()
+        row = (row >> gone) | (((1 << (end - high)) - 1) << (high - start))
+        low, high = start, end
+        full = (1 << (high - low)) - 1
+        where: dict[int, int] = {}
+        for at, code in enumerate(codes[low:high]):
+            where[code] = where.get(code, 0) | (1 << at)
+        for at, code in enumerate(others[first : first + step], first):
+            match = where.get(code)
+            if match:
+                shift = at - band - low
+                match &= (wide << shift) if shift >= 0 else (wide >> -shift)
+                both = row & match
+                row = ((row + both) | (row - both)) & full
+    return head + tail + matched + high - low - row.bit_count()
 
 
 def similarity(left: list[bytes], right: list[bytes], least: float = SIMILAR) -> float:
@@ -193,25 +211,44 @@ def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, digest string, keys array<long>, shingles long")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """``lead``, ``node``, whether they are ``linked``, and the ``keys`` of ``split_keys`` for the node."""
+def _signed(texts: DataFrame) -> DataFrame:
+    """``node``, ``text`` and ``signature``: the SIGNATURE least hashes of the labelled shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signatures = []
+            for text in batch.column(1).to_pylist():
+                found = labelled_shingles(byte_words(text))
+                signatures.append((np.partition(found, SIGNATURE - 1)[:SIGNATURE] if len(found) > SIGNATURE else found).view(np.int64))
+            signed = pa.array(signatures, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], names=["node", "text", "signature"])
+
+    return texts.mapInArrow(run, "node long, text string, signature array<long>")
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, similar: float, split: bool) -> DataFrame:
+    """``lead``, ``node``, whether they are ``linked``, and with ``split`` the ``keys`` of ``split_keys`` for the node."""
     left = texts.select(F.col("node").alias("lead"), F.col("text").alias("left"))
     right = texts.select("node", F.col("text").alias("right"))
     joined = pairs.join(left, "lead").join(right, "node").select("lead", "node", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
+        held = 0
         for batch in batches:
             linked, keys = [], []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if len(known) > 200:
+                if held > REMEMBERED:
                     known.clear()
+                    held = 0
                 for t in (one, two):
                     if t not in known:
                         words = byte_words(t)
-                        known[t] = words, labelled_shingles(words)
+                        known[t] = words, labelled_shingles(words) if split else None
+                        held += len(t)
                 (words, lead), (others, other) = known[one], known[two]
-                same, rest = split_keys(lead, other, similar, lambda: similarity(words, others, similar) >= similar)
+                alike = lambda: similarity(words, others, similar) >= similar  # noqa: B023, E731
+                same, rest = split_keys(lead, other, similar, alike) if split else (alike(), [])
                 linked.append(same)
                 keys.append(rest)
             yield pa.RecordBatch.from_arrays(
@@ -219,7 +256,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
                 names=["lead", "node", "linked", "keys"],
             )
 
-    return joined.mapInArrow(run, "lead long, node long, linked boolean, keys array<long>")
+    return joined.mapInArrow(run, PAIRS)
 
 
 def _named(graph: DataFrame, column: str) -> DataFrame:
@@ -248,63 +285,90 @@ def _merge(graph: DataFrame | None, linked: DataFrame) -> DataFrame | None:
     return materialize(joined.select("node", F.coalesce("into", "component").alias("component")), "graph")
 
 
-def _settle(groups: DataFrame, graph: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """The graph after comparing all pairs of different components in groups with at most DIRECT of them per node,
-    and the rows of the other groups that have more than one component.
+class _Rounds:
+    """A table in the shared folder that each round adds its rows to."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str):
+        self.spark, self.folder, self.schema, self.last = spark, scratch_path(spark, label), schema, -1
 
-    One of a pair is outside its group's largest component, and such nodes are few there. Texts whose
-    numbers of shingles are further apart than ``similar`` are not compared.
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Stores the rows of one more round and returns them."""
+        self.last += 1
+        path = f"{self.folder}/round={self.last}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """All rows so far, with their ``round``."""
+        if self.last < 0:
+            return self.spark.createDataFrame([], f"{self.schema}, round int")
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.folder)
+
+
+def _crossing(rows: DataFrame, met: _Rounds, texts: DataFrame, similar: float, leads: int) -> DataFrame:
+    """``lead`` and ``node``: the pairs of different components between a group's leads and all of the group.
+
+    Leads are the heaviest ``leads`` of its nodes outside its largest component. Left out are pairs met before, pairs whose
+    numbers of shingles are further apart than ``similar``, and pairs whose signatures have too little in common.
     """
-    named = groups.join(weights, "node").join(_named(graph, "node"), "node", "left")
-    named = named.withColumn("comp", F.coalesce("node_comp", "node")).drop("node_comp")
-    parts = named.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-    sizes = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "comp")).alias("most"))
-    crossing = (F.col("n") * F.col("n") - F.col("squares")) / 2
-    sizes = sizes.where(crossing > 0).select("key", F.col("most")["comp"].alias("major"), (crossing <= DIRECT * F.col("n")).alias("few"))
-    rows = materialize(named.join(sizes, "key"), "crossing")
-    columns = ["key", "comp", "weight", "node", "shingles"]
-    one = rows.where("few AND comp <> major").select(*(F.col(c).alias(f"{c}_a") for c in columns))
-    two = rows.where("few").select(*(F.col(c).alias(f"{c}_b") for c in columns))
+    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    heads = rows.where("comp <> major").withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads)
+    columns = ["key", "comp", "node", "shingles"]
+    one, two = heads.select(*(F.col(c).alias(f"{c}_a") for c in columns)), rows.select(*(F.col(c).alias(f"{c}_b") for c in columns))
     near = F.least("shingles_a", "shingles_b") >= similar * F.greatest("shingles_a", "shingles_b") - 1e-6
-    met = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
-    first, second = F.struct("weight_a", "node_a"), F.struct("weight_b", "node_b")
-    pairs = met.select(F.when(first > second, F.col("node_a")).otherwise(F.col("node_b")).alias("lead"), F.when(first > second, F.col("node_b")).otherwise(F.col("node_a")).alias("node"))
-    compared = materialize(_compare(pairs.distinct(), texts, similar).select("lead", "node", "linked"), "settled")
-    merged = _merge(graph, compared.where("linked"))
-    return graph if merged is None else merged, rows.where("NOT few").select("key", "node")
+    pairs = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    pairs = pairs.select(F.greatest("node_a", "node_b").alias("lead"), F.least("node_a", "node_b").alias("node")).distinct()
+    pairs = pairs.join(met.rows().select("lead", "node"), ["lead", "node"], "left_anti")
+    signs = texts.select("node", "signature")
+    pairs = pairs.join(signs.toDF("lead", "one"), "lead").join(signs.toDF("node", "two"), "node")
+    common = F.size(F.array_intersect("one", "two"))
+    return pairs.where(common >= COMMON * F.least(F.size("one"), F.size("two"))).select("lead", "node")
 
 
 def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
     """``component`` of each ``node`` that is linked to another, from rows (key, node) of groups."""
-    graph, done, emitted = None, None, None
+    spark = groups.sparkSession
+    graph, leads = None, LEADS
+    told = _Rounds(spark, "told", PAIRS)
+    met = _Rounds(spark, "met", PAIRS)
+    emitted = _Rounds(spark, "emitted", "lead long, node long")
     while not groups.isEmpty():
         weighed = groups.join(weights, "node")
         heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("head"), F.count("*").alias("size"))
         heads = heads.where("size > 1").select("key", F.col("head")["node"].alias("lead"))
         led = materialize(groups.join(heads, "key").where("node <> lead"), "led")
         pairs = led.select("lead", "node").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("lead", "node"), ["lead", "node"], "left_anti")
-        compared = materialize(_compare(pairs, texts, similar), "compared")
-        done = compared if done is None else done.union(compared)
+        if told.last >= 0:
+            pairs = pairs.join(told.rows().select("lead", "node"), ["lead", "node"], "left_anti")
+        compared = told.add(_compare(pairs, texts, similar, True))
         merged = _merge(graph, compared.where("linked"))
         graph = graph if merged is None else merged
         if graph is None:
             graph = compared.select("node", F.col("node").alias("component")).limit(0)
-        graph, large = _settle(groups, graph, weights, texts, similar)
-        if large.isEmpty():
+
+        named = groups.join(weights, "node").join(_named(graph, "node"), "node", "left")
+        named = named.withColumn("comp", F.coalesce("node_comp", "node")).drop("node_comp")
+        parts = named.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+        sizes = parts.agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+        sizes = sizes.select("key", F.col("most")["comp"].alias("major"), (F.col("n") - F.col("most")["n"]).alias("outside"))
+        rows = materialize(named.join(sizes.where("outside > 0"), "key"), "crossing")
+        across = met.add(_compare(_crossing(rows, met, texts, similar, leads), texts, similar, False))
+        merged = _merge(graph, across.where("linked"))
+        graph = graph if merged is None else merged
+
+        large = rows.where(F.col("outside") > leads).select("key").distinct()
+        leads *= GROWTH
+        known = emitted.rows()
+        fresh = led.join(large, "key", "left_semi").select("lead", "node").distinct()
+        fresh = emitted.add(fresh.join(known.select("lead", "node"), ["lead", "node"], "left_anti"))
+        if fresh.isEmpty():
             break
-        fresh = led.join(large.select("key").distinct(), "key", "left_semi").select("lead", "node").distinct()
-        if emitted is not None:
-            fresh = fresh.join(emitted.select("lead", "node"), ["lead", "node"], "left_anti")
-        fresh = materialize(fresh.withColumn("fresh", F.lit(True)), "fresh")
-        before = fresh if emitted is None else emitted.withColumn("fresh", F.lit(False)).union(fresh.select("lead", "node", "fresh"))
-        emitted = fresh.select("lead", "node") if emitted is None else emitted.union(fresh.select("lead", "node"))
         # a key counts among the nodes of one lead, and again only when it has got a new node
-        keyed = done.join(before, ["lead", "node"]).select("lead", "node", "fresh", F.explode("keys").alias("key"))
+        before = emitted.rows().select("lead", "node", (F.col("round") == emitted.last).alias("fresh"))
+        keyed = told.rows().join(before, ["lead", "node"]).select("lead", "node", "fresh", F.explode("keys").alias("key"))
         keyed = keyed.select("node", "fresh", F.xxhash64("lead", "key").alias("key")).distinct()
-        named = keyed.join(_named(graph, "node"), "node", "left").withColumn("comp", F.coalesce("node_comp", "node"))
-        several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("fresh").alias("new"))
+        now = keyed.join(_named(graph, "node"), "node", "left").withColumn("comp", F.coalesce("node_comp", "node"))
+        several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("fresh").alias("new"))
         several = several.where("low < high AND new").select("key")
         groups = materialize(keyed.join(several, "key").select("key", "node"), "groups")
     return graph
@@ -322,10 +386,10 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
     Equal texts are reduced to one node inside tasks before the shuffle, so thousands of copies cost
     as much as one. Nodes that share a sketch key form a group. Each is compared, over the whole texts, with one lead
     of its group: the node whose keys are most common, which in a large group of
-    copies is the text that the others were made from. Groups whose nodes are then not all in one class
-    compare the pairs of different classes if those are few (see ``_settle``), and are else grouped anew by what sets them
-    apart from the lead (see ``split_keys``), until no group is left with nodes of two classes. So large groups of copies cost a few comparisons per text and round, and links among texts that
-    the lead is not alike to are found as well.
+    copies is the text that the others were made from. Then the heaviest LEADS nodes outside the group's largest class are
+    compared with those of the group in other classes. A group with more nodes outside is grouped anew by what sets its nodes
+    apart from the lead (see ``split_keys``), and the next round has GROWTH times the leads. So a round
+    costs a bounded number of comparisons per text, rounds are few, and links among texts that the lead is not alike to are found as well.
     """
     rows = materialize(sketch_rows(docs, doc_id, text), "sketches")
     grouped = (
@@ -343,7 +407,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
     candidates = nodes.join(weights, "node").select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
     found = keyed.join(candidates, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")))
-    texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = materialize(_signed(found.select("node", "text").dropDuplicates(["node"])), "texts")
 
     graph = _links(joined.select("key", "node"), weights, texts, similar)
     if graph is None:
