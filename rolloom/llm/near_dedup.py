@@ -227,7 +227,11 @@ def _signed(texts: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, similar: float, split: bool) -> DataFrame:
-    """``lead``, ``node``, whether they are ``linked``, and with ``split`` the ``keys`` of ``split_keys`` for the node."""
+    """``lead``, ``node``, whether they are ``linked``, and with ``split`` the ``keys`` of ``split_keys`` for the node.
+
+    The pairs are stored first: their size is then known, and few pairs go to the texts instead of all texts to them.
+    """
+    pairs = materialize(pairs, "pairs")
     left = texts.select(F.col("node").alias("lead"), F.col("text").alias("left"))
     right = texts.select("node", F.col("text").alias("right"))
     joined = pairs.join(left, "lead").join(right, "node").select("lead", "node", "left", "right")
@@ -405,6 +409,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
     weights = materialize(joined.groupBy("node").agg(F.sum("size").alias("weight"), F.first("shingles").alias("shingles")), "weights")
 
     candidates = nodes.join(weights, "node").select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
+    candidates = materialize(candidates, "candidates")  # its size is then known before the texts are shuffled
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
     found = keyed.join(candidates, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")))
     texts = materialize(_signed(found.select("node", "text").dropDuplicates(["node"])), "texts")
