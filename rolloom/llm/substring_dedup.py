@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +87,19 @@ class Packed:
             counts.tobytes(),
             np.diff(first, prepend=0).tobytes(),
             (last - first).tobytes(),
-            b"\n".join(self.entries[bucket]),
+            b" ".join(self.entries[bucket]),
         ]
         return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
-def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     data = zstandard.ZstdDecompressor().decompress(payload)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     counts = np.frombuffer(data, np.int32, n, 8).astype(np.int64)
     first = np.cumsum(np.frombuffer(data, np.int64, n, 8 + 4 * n))
     last = first + np.frombuffer(data, np.int64, n, 8 + 12 * n)
-    return counts, first, last, data[8 + 20 * n :].split()
+    words = pc.split_pattern(pa.array([data[8 + 20 * n :]], pa.large_binary()), b" ").flatten()
+    return counts, first, last, words
 
 
 def _documents(table: pa.Table) -> list[tuple[int, str | None, int]]:
@@ -115,12 +117,11 @@ def shared_windows(payloads: list[bytes], window: int) -> list[tuple[np.ndarray,
     Windows are sorted by a 64-bit hash of their words' numbers; those that meet are then told
     apart by the numbers themselves, so that only equal words count as equal.
     """
-    codes: dict[bytes, int] = {}
     flat, starts, first, last, sizes = [], [], [], [], []
     base = 0
     for payload in payloads:
         counts, low, high, words = unpack(payload)
-        flat.append(np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words)))
+        flat.append(words)
         windows = counts - window + 1
         begin = base + np.cumsum(counts) - counts
         inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -129,7 +130,9 @@ def shared_windows(payloads: list[bytes], window: int) -> list[tuple[np.ndarray,
         last.append(np.repeat(high, windows))
         sizes.append(int(windows.sum()))
         base += len(words)
-    numbers, at = np.concatenate(flat), np.concatenate(starts)
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    numbers, at = coded.indices.to_numpy().astype(np.int64), np.concatenate(starts)
+    distinct = len(coded.dictionary)
     low, high = np.concatenate(first), np.concatenate(last)
     hashed = np.zeros(len(at), np.uint64)
     spread = numbers.astype(np.uint64) * _MIX
@@ -142,7 +145,7 @@ def shared_windows(payloads: list[bytes], window: int) -> list[tuple[np.ndarray,
     if len(some):
         exact = group[some].astype(np.int64)
         for k in range(window):
-            exact = np.unique(exact * (len(codes) + 1) + numbers[at[some] + k], return_inverse=True)[1]
+            exact = np.unique(exact * (distinct + 1) + numbers[at[some] + k], return_inverse=True)[1]
         least = np.full(exact.max() + 1, _NEVER, np.int64)
         most = np.full(exact.max() + 1, np.iinfo(np.int64).min, np.int64)
         np.minimum.at(least, exact, low[some])
