@@ -150,3 +150,24 @@ def test_sketches_see_order_and_occurrence():
     assert len(set(keys) & set(N.order_keys(N.labelled_shingles(swapped)))) < len(keys)
     assert N.occurrence_labels(np.array([5, 7, 5, 5, 7], np.uint64)).tolist() == [0, 0, 1, 2, 1]
     assert N.order_keys(N.labelled_shingles([])) == []
+
+
+def banded_by_hand(left, right, band):
+    """Longest common subsequence whose matches lie in the band, cell by cell; cells outside it only pass values on."""
+    row = [0] * (len(left) + 1)
+    for j, code in enumerate(right):
+        new = [0] * (len(left) + 1)
+        for i, other in enumerate(left):
+            match = row[i] + 1 if code == other and abs(i - j) <= band else 0
+            new[i + 1] = max(match, row[i + 1], new[i])
+        row = new
+    return row[-1]
+
+
+def test_alignment_slides_over_long_texts():
+    rng = np.random.default_rng(4)
+    for size, kinds, band in [(30, 5, 8), (400, 4, 20), (2600, 60, 40), (2600, 100_000, 25)]:
+        left = rng.integers(0, kinds, size)
+        right = np.insert(np.delete(left, rng.integers(1, size - 1, 5)), rng.integers(1, size - 6, 8), 7)
+        left[[0, -1]], right[[0, -1]] = (-1, -2), (-3, -4)  # no common ends
+        assert N.aligned(left, right, band) == banded_by_hand(left.tolist(), right.tolist(), band)
