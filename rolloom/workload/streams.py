@@ -1,4 +1,4 @@
-"""Streaming queries: the driver tables arrive in slices of ``SLICE_ROWS`` rows in the order of time.
+"""Streaming queries: the driver tables arrive in slices of at most ``SLICE_ROWS`` rows in the order of time.
 
 Each slice is one file and one micro-batch, so a micro-batch is bounded whatever the table. The stream is run over what is new and
 stopped, ``RUNS`` times; state and position survive in the checkpoint.
@@ -30,7 +30,8 @@ QUERIES, ORACLES = {}, {}
 # Id of the events that close a stream.
 CLOSING = -1
 
-SLICE_ROWS, RUNS = 4000, 3
+SLICE_ROWS, RUNS = 1_000_000, 3
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def query(name: str, sql: str | None = None):
@@ -44,15 +45,21 @@ def query(name: str, sql: str | None = None):
 
 
 def _in_slices(rows: DataFrame, write: Callable[[DataFrame], None], run: Callable[[], None]) -> None:
-    """Rows without a time come first, as in any ascending order."""
+    """Rows without a time come first, as in any ascending order.
+
+    The rows are ranked and stored by slice once; each slice is then read alone. A small table has smaller slices, one for each run.
+    """
+    spark = rows.sparkSession
+    rows = materialize(rows, "arriving")
+    size = max(1, min(SLICE_ROWS, -(-rows.count() // RUNS)))
     chunked, at = row_chunks(rows, [], "ts")
-    ranked = materialize(grouped_rank(chunked, [], ["ts", "event_id"], at, "_rank"), "ranked")
-    slices = -(-ranked.count() // SLICE_ROWS)
+    ranked = grouped_rank(chunked, [], ["ts", "event_id"], at, "_rank")
+    folder = scratch_path(spark, "slices")
+    ranked.select(*rows.columns, F.expr(f"(_rank - 1) DIV {size}").alias("_slice")).write.partitionBy("_slice").parquet(folder)
+    slices = -(-rows.count() // size)
     each = max(-(-slices // RUNS), 1)
     for number in range(slices):
-        first = number * SLICE_ROWS
-        part = ranked.where((F.col("_rank") > first) & (F.col("_rank") <= first + SLICE_ROWS))
-        write(part.select(*rows.columns).coalesce(1))  # SLICE_ROWS rows
+        write(spark.read.schema(rows.schema).parquet(f"{folder}/_slice={number}"))
         if (number + 1) % each == 0 or number + 1 == slices:
             run()
 
@@ -60,14 +67,26 @@ def _in_slices(rows: DataFrame, write: Callable[[DataFrame], None], run: Callabl
 def _arrive(rows: DataFrame, source: str, run: Callable[[DataFrame], None]) -> None:
     """Write slices as files to ``source`` and call ``run`` with the stream of what is new, a file per micro-batch."""
     reader = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-    _in_slices(rows, lambda part: part.write.mode("append").parquet(source), lambda: run(reader.parquet(source)))
+    _in_slices(rows, lambda part: part.coalesce(1).write.mode("append").parquet(source), lambda: run(reader.parquet(source)))
 
 
 def _feed(rows: DataFrame, label: str, stream: Callable[[DataFrame], DataFrame], mode: str) -> str:
-    """Run ``stream`` over the rows in slices; the folder of its output."""
+    """Run ``stream`` over the rows in slices; the folder of its output.
+
+    A micro-batch is bounded, so its state is kept in as many partitions as there are cores and not in as many as a whole table needs.
+    """
     spark = rows.sparkSession
     source, output, checkpoint = (scratch_path(spark, f"{label}-{part}") for part in ("in", "out", "checkpoint"))
-    _arrive(rows, source, lambda new: run_available(stream(new), output, checkpoint, mode))
+
+    def run(new: DataFrame) -> None:
+        before = spark.conf.get(PARTITIONS)
+        spark.conf.set(PARTITIONS, str(spark.sparkContext.defaultParallelism))
+        try:
+            run_available(stream(new), output, checkpoint, mode)
+        finally:
+            spark.conf.set(PARTITIONS, before)
+
+    _arrive(rows, source, run)
     return output
 
 

@@ -389,6 +389,67 @@ def test_replayed_micro_batches_count_once(spark, rows):
     assert {r.k: r.n for r in latest_version(spark, table).collect()} == {"a": 3, "b": 3}
 
 
+def test_merged_tables_are_rewritten_once_a_run(spark, rows):
+    from rolloom.streaming.sinks import latest_version, merge_available
+
+    source, table, checkpoint = (scratch_path(spark, f"parts-test-{p}") for p in ("in", "table", "checkpoint"))
+    add = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    merges = []
+    merge = lambda df: merges.append(1) or add(df)
+    for run in range(2):
+        for part in range(7):
+            rows("k string, n bigint", [("a", 1), (f"b{run}", part)]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, n bigint").option("maxFilesPerTrigger", 1).parquet(source)
+        merge_available(stream, table, checkpoint, add, merge)
+    assert {r.k: r.n for r in latest_version(spark, table).collect()} == {"a": 14, "b0": 21, "b1": 21}
+    # every second micro-batch carries earlier ones with it, and each run ends with a version of the whole
+    assert len(merges) == 7 + 2
+    assert sorted(r.version for r in spark.read.parquet(f"{table}/whole").select("version").distinct().collect()) == [6, 13]
+
+
+@pytest.mark.parametrize("most,sizes", [(5, [5, 5, 5, 1]), (100, [6, 6, 4])])
+def test_slices_are_bounded_and_in_order(rows, monkeypatch, most, sizes):
+    from rolloom.workload import streams
+
+    monkeypatch.setattr(streams, "SLICE_ROWS", most)
+    times = [None, None, *range(9), 3, 3, 3, 3, 3]
+    table = rows("ts int, event_id int, x string", [(t, i, str(i)) for i, t in enumerate(times)])
+    slices, runs = [], []
+    streams._in_slices(table, lambda part: slices.append(sorted(r.event_id for r in part.collect())), lambda: runs.append(len(slices)))
+    order = sorted(range(len(times)), key=lambda i: (times[i] is not None, times[i] or 0, i))
+    assert [len(s) for s in slices] == sizes and runs[-1] == len(slices)
+    assert slices == [sorted(order[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes))]
+
+
+def test_overdue_stream_meets_no_pairs(spark, rows):
+    import datetime as dt
+
+    from rolloom.streaming.overdue import overdue_stream
+
+    source, output, checkpoint = (scratch_path(spark, f"overdue-test-{p}") for p in ("in", "out", "checkpoint"))
+    at = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    random_ = random.Random(5)
+    moments = sorted(random_.randrange(20_000) for _ in range(600))
+    events = [(random_.choice([0, 1, 2**60 + 1, None]), random_.choice([0, 1, None]), random_.choice(["request"] * 3 + ["submit"]), m, 2**60 + i) for i, m in enumerate(moments)]
+    events += [(0, 0, "request", None, 1), (0, 0, "submit", None, 2), (9, 0, "request", 20_000, None), (9, 1, "request", 100, 3)]
+    late = [e for e in events if e[2] == "request" and e[3] is not None and not any(
+        s[2] == "submit" and None not in (s[0], s[1], s[3]) and s[:2] == e[:2] and e[3] <= s[3] <= e[3] + 60 for s in events)]
+    closing = [(-1, -1, kind, 90_000, -1) for kind in ("request", "submit")]
+    events.sort(key=lambda e: -1 if e[3] is None else e[3])
+    schema = "job_id bigint, batch_id int, kind string, ts timestamp, event_id bigint"
+    for first in range(0, len(events), 200):
+        some = events[first : first + 200] + (closing if first + 200 >= len(events) else [])
+        rows(schema, [(j, b, k, at(m), i) for j, b, k, m, i in some]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        columns = ["job_id", "batch_id", "ts", "event_id"]
+        found = overdue_stream(*(stream.where(F.col("kind") == kind).select(*columns) for kind in ("request", "submit")), "1 MINUTE", "10 seconds")
+        assert "Join" not in found._jdf.queryExecution().analyzed().toString()
+        run_available(found, output, checkpoint)
+    got = [(r.job_id, r.batch_id, r.requested_at, r.event_id) for r in spark.read.parquet(output).collect() if r.job_id != -1]
+    want = [(j, b, at(m), i) for j, b, _, m, i in late]
+    assert len(want) > 50 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_overdue_and_status(rows):
     import datetime as dt
 
