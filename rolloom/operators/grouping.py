@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolloom.plans.ordered import grouped_rank, seeded_hash
+from rolloom.plans.ordered import grouped_rank, has_crowded_key, seeded_hash
 
 EXAMPLE = ["predictor", "example_id"]
 ROLLOUT = ["predictor", "example_id", "teacher_id", "rollout_idx"]
 GROUP = ["predictor", "example_id", "inv_idx"]
 
 
-def invocations(traces: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
-    """Number the entries of each predictor within each rollout, in trace order."""
-    return grouped_rank(traces, ROLLOUT, order, chunk, "inv_idx")
+def invocations(traces: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFrame:
+    """Number the entries of each predictor within each rollout, in trace order. ``chunk`` as in ``grouped_rank``."""
+    return grouped_rank(traces, ROLLOUT, order, chunk, "inv_idx").withColumn("inv_idx", F.col("inv_idx").cast("bigint"))
 
 
 def trace_lengths(traces: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def to_groups(aligned: DataFrame, bounded: bool = False) -> DataFrame:
 
     Adds the 0-based ``member``, counted in rollout order. ``bounded=True`` asserts
     that the number of rollouts per example has been checked, so that a group
-    fits a plain window.
+    fits a plain window. Otherwise the rows of examples are counted, which needs no numbering and bounds the groups.
     """
-    if bounded:
+    if bounded or not has_crowded_key(aligned, EXAMPLE):
         place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("teacher_id", "rollout_idx"))
         return aligned.withColumn("member", place.cast("bigint") - 1)
     chunk = F.struct("teacher_id", F.floor(F.col("rollout_idx") / 1024).alias("part"))

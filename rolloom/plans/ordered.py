@@ -23,6 +23,8 @@ _KEY, _CHUNK = "_key", "_chunk"
 CHUNK_ROWS = 65536
 #: Parts that a crowded key is cut into at once, and the size of its sketch (ranks are off by about 1.3 %).
 SPLITS, SKETCH = 32, 200
+#: Numbers that ``has_crowded_key`` hashes keys to.
+HASHED = 1 << 17
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
@@ -105,6 +107,21 @@ def row_chunks(
         )
 
 
+def has_crowded_key(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
+    """Whether a key holds more than ``rows`` rows; if not, plain windows over it will do.
+
+    Keys are counted together by a hash first, in one narrow pass over ``df`` without a shuffle to speak of. A key is no larger than what it
+    is counted with, so only the keys of counts above ``rows`` are looked at one by one.
+    """
+    rows = rows or CHUNK_ROWS
+    numbered = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HASHED)).alias("_hash"))
+    large = materialize(numbered.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select("_hash"), "large")
+    if large.isEmpty():
+        return False
+    counts = numbered.join(large, "_hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.where(F.col("_n") > rows).isEmpty()
+
+
 def _tag(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
     # Structs compare equal also where a field is null, so joining on them loses
     # no rows. With no keys the order is global.

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.operators.grouping import invocations
-from rolloom.plans.ordered import grouped_rank, step_chunk, time_chunk
+from rolloom.operators.grouping import ROLLOUT, invocations
+from rolloom.plans.ordered import grouped_rank, has_crowded_key, step_chunk, time_chunk
 
 GROUP_SIZE = 8
 GROUP = ["user_id", "group_no"]
@@ -74,8 +74,11 @@ def trace_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunk = F.struct("l_shipdate", F.expr("l_partkey DIV 1024").alias("part"))
-    numbered = invocations(traces(spark, sf_dir), LINE_ORDER, chunk)
+    """Traces are numbered whole, unless one is too long for a task."""
+    entries = traces(spark, sf_dir)
+    long = has_crowded_key(entries, ROLLOUT)
+    chunk = F.struct("l_shipdate", F.expr("l_partkey DIV 1024").alias("part")) if long else None
+    numbered = invocations(entries, LINE_ORDER, chunk)
     return numbered.select(
         "predictor", "example_id", "teacher_id", "rollout_idx", "inv_idx", "l_partkey", F.col("l_discount").alias("score")
     )

@@ -237,7 +237,8 @@ _MEMBER = "row_number() OVER (PARTITION BY predictor, example_id, inv_idx ORDER
 
 @query("ragged_groups", _KEPT + f"SELECT kept.* EXCLUDE (score), {_MEMBER} FROM kept")
 def ragged_groups(spark, d):
-    return g.to_groups(g.align(_complete(spark, d), "ragged")).drop("score")
+    # Four rollouts per example by construction: a group holds at most four rows.
+    return g.to_groups(g.align(_complete(spark, d), "ragged"), bounded=True).drop("score")
 
 
 def _groups(spark, d):

@@ -205,3 +205,34 @@ def test_dispatch_without_free_ids(rows):
     groups = rows("grp int", [(1,)])
     ids = rows("bid int", [(1,)])
     assert sp.dispatch(groups, "grp", ids, ids, "bid", 1).count() == 0
+
+
+@pytest.mark.parametrize("rows_of_a_task", [65536, 3])
+def test_traces_are_numbered_whole_unless_long(spark, tmp_path, monkeypatch, rows_of_a_task):
+    import datetime as dt
+
+    from rolloom.plans import ordered
+    from rolloom.workload import fixtures as fx
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows_of_a_task)
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    lines = [(o, 5000 * (n % 2), 1, n, 1.0, 1.0, n / 10, 0.0, "A", "F", dt.datetime(2024, 1, 1 + (7 - n) // 2)) for o in (1, 2, None) for n in range(7)]
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    numbered = fx.trace_invocations(spark, str(tmp_path))
+    assert ("Join" in numbered._jdf.queryExecution().analyzed().toString()) == (rows_of_a_task == 3)
+    assert dict(numbered.dtypes)["inv_idx"] == "bigint"
+    got = {(r.example_id, r.rollout_idx): [] for r in numbered.collect()}
+    for r in numbered.orderBy("inv_idx").collect():
+        got[r.example_id, r.rollout_idx].append((r.inv_idx, r.score))
+    order = sorted(range(7), key=lambda n: ((7 - n) // 2, n % 2, n))
+    assert got == {(o and o // 4, o and o % 2): [(i + 1, n / 10) for i, n in enumerate(order)] for o in (1, 2, None)}
+
+
+@pytest.mark.parametrize("rows_of_a_task", [65536, 1])
+def test_groups_of_short_and_long_examples(rows, monkeypatch, rows_of_a_task):
+    from rolloom.plans import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows_of_a_task)
+    grouped = g.to_groups(g.align(trace(rows, [3, 1, 2]), "ragged"))
+    assert members(grouped) == members(g.to_groups(g.align(trace(rows, [3, 1, 2]), "ragged"), bounded=True))
+    assert ("Join" in grouped._jdf.queryExecution().analyzed().toString()) == (rows_of_a_task == 1)

@@ -121,3 +121,11 @@ def test_no_chunk_means_plain_windows(skewed):
     counted = o.running(skewed, ["key"], ORDER, None, {"n": ("count", F.col("v"))})
     frame = plain().rowsBetween(Window.unboundedPreceding, 0)
     assert same(counted.withColumn("want", F.count("v").over(frame)), "n", "want")
+
+
+@pytest.mark.parametrize("hashed", [1, 1 << 17])
+def test_crowded_keys_are_found(rows, monkeypatch, hashed):
+    monkeypatch.setattr(o, "HASHED", hashed)
+    df = rows("k int, n int", [(None, i) for i in range(5)] + [(i % 4, i) for i in range(16)])
+    assert o.has_crowded_key(df, ["k"], 4) and not o.has_crowded_key(df, ["k"], 5)
+    assert not o.has_crowded_key(df.limit(0), ["k"], 1)
