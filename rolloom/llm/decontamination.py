@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed words and dimensions of the latent space; their product bounds all matrices.
 FEATURES, RANK = 1 << 15, 64
-#: Passages of documents, at most in expectation, on which the factorisation is fitted.
-SAMPLE = 20_000
 #: Extra columns of the random start and passes of the power iteration.
 OVERSAMPLE, PASSES = 8, 2
 #: Words in a searched passage, and from one passage to the next.
@@ -28,8 +26,8 @@ COSINE = 0.78
 COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.8
 #: Items searched for in one pass over the documents.
 ITEM_BLOCK = 4096
-#: Tasks that sum the products of the factorisation, each FEATURES x RANK numbers.
-FIT_TASKS = 8
+#: Parts into which a task cuts its sums of the factorisation, so that many tasks add them up.
+SUM_PARTS = 32
 
 _PUNCTUATION = bytes(32 if not (chr(b).isalnum() or b >= 128) else b for b in range(256))
 
@@ -86,67 +84,67 @@ def weigh(frequency: np.ndarray, documents: int) -> np.ndarray:
     return np.log((documents + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.01)
 
 
-def product(passages: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """A'(A matrix), where the rows of A are the TF-IDF vectors of passages, scaled to length 1."""
+def accumulate(found: np.ndarray, idf: np.ndarray, matrix: np.ndarray, out: np.ndarray) -> None:
+    """Add a'(a matrix) to ``out``, where a is the TF-IDF vector of the features of a text, scaled to length 1."""
+    at, tf = np.unique(found, return_counts=True)
+    row = tf * idf[at]
+    row /= np.linalg.norm(row) or 1
+    out[at] += row[:, None] * (row @ matrix[at])[None, :]
+
+
+def product(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A'(A matrix), where the rows of A are the vectors of texts."""
     out = np.zeros_like(matrix)
-    for found in passages:
-        at, tf = np.unique(found, return_counts=True)
-        row = tf * idf[at]
-        row /= np.linalg.norm(row) or 1
-        out[at] += row[:, None] * (row @ matrix[at])[None, :]
+    for found in texts:
+        accumulate(found, idf, matrix, out)
     return out
 
 
+def _sums(part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
+
+
 def factorise(docs: DataFrame, text: str, items: list[Item], idf: np.ndarray, documents: int) -> np.ndarray:
-    """Right singular vectors (FEATURES x RANK) of the TF-IDF matrix of passages, by a randomised SVD.
+    """Right singular vectors (FEATURES x RANK) of the TF-IDF matrix of documents, by a randomised SVD.
 
-    The rows are one passage of each document in a sample by a hash of the text, of SAMPLE documents
-    in expectation, and the items, which together weigh as much as the sample. A random start is
-    multiplied PASSES times by A'A, a distributed product: each of FIT_TASKS tasks sums its
-    passages, one task adds these sums, and the driver makes the columns orthonormal again.
+    The rows are all ``documents`` that have words, each with all of them, and the items, which together weigh as much. A random
+    start is multiplied PASSES times by A'A, a distributed product: one task per core sums its share of the documents, SUM_PARTS
+    tasks add these sums, and the driver makes the columns orthonormal again. What is shuffled follows the cores, what the
+    driver gets is one matrix, whatever the input.
     """
     random = np.random.default_rng(23)
     basis = random.standard_normal((FEATURES, RANK + OVERSAMPLE), np.float32)
-    share = min(1.0, SAMPLE / max(1, documents))
-    spark = docs.sparkSession
-    hashed = F.pmod(F.xxhash64(text), F.lit(1_000_003))
-    sample = docs.select(text).where(F.col(text).isNotNull() & (hashed < int(1_000_003 * share))).coalesce(FIT_TASKS)
+    context = docs.sparkSession.sparkContext
+    whole = docs.select(text).where(F.col(text).isNotNull()).coalesce(context.defaultParallelism)
     own = [features(i.words) for i in items if i.words]
+    schema, high = "part int, sums binary", FEATURES // SUM_PARTS
 
     for _ in range(PASSES):
-        shared = spark.sparkContext.broadcast((idf, basis))
+        shared = context.broadcast((idf, basis))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, matrix = shared.value
-            total, rows = np.zeros_like(matrix), 0
+            total = np.zeros_like(matrix)
             for batch in batches:
-                passages = []
                 for t in batch.column(0).to_pylist():
-                    found = features(plain_words(t))
-                    if len(found):
-                        begin = zlib.crc32(found.tobytes()) % max(1, len(found) - PASSAGE + 1)
-                        passages.append(found[begin : begin + PASSAGE])
-                total += product(passages, weights, matrix)
-                rows += len(passages)
-            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
+                    words = plain_words(t)
+                    if words:
+                        accumulate(features(words), weights, matrix, total)
+            for part in range(SUM_PARTS):
+                yield _sums(part, total[part * high : (part + 1) * high])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, rows = None, 0
+            totals: dict[int, np.ndarray] = {}
             for batch in batches:
-                for n, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    sums = np.frombuffer(part.as_buffer(), np.float32)
-                    total, rows = sums.copy() if total is None else total + sums, rows + n
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
-
-        schema = "n long, sums binary"
-        # FIT_TASKS sums meet in one task, so one matrix comes to the driver
-        summed = sample.mapInArrow(multiply, schema).repartition(1).mapInArrow(add, schema)
-        total, rows = product(own, idf, basis), 0
+                for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    totals[part] = totals.get(part, 0.0) + np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64)
+            for part, sums in totals.items():
+                yield _sums(part, sums.astype(np.float32))
+
+        summed = whole.mapInArrow(multiply, schema).repartition(SUM_PARTS, "part").mapInArrow(add, schema)
+        total = product(own, idf, basis) * np.float32(max(1.0, documents / max(1, len(own))))
         for part in summed.toLocalIterator():
-            rows = part.n
-            total *= max(1.0, rows / max(1, len(own)))
-            total += np.frombuffer(part.sums, np.float32).reshape(basis.shape)
+            total[part.part * high : (part.part + 1) * high] += np.frombuffer(part.sums, np.float32).reshape(high, -1)
         basis = np.linalg.qr(total)[0].astype(np.float32)
         shared.destroy()
     # the singular vectors within the span: rotate by those of the projected products

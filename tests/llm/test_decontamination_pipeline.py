@@ -88,6 +88,18 @@ def test_factorisation_finds_the_span(rows):
     assert np.linalg.norm(right @ found) ** 2 > 3.9  # of 4: the span holds the leading directions
 
 
+def test_factorisation_takes_all_documents(rows, monkeypatch):
+    monkeypatch.setattr(D, "SAMPLE", 5, raising=False)
+    texts = [" ".join(f"t{k}w{(i + j) % 20}" for j in range(40)) for k in range(12) for i in range(15)]
+    idf = np.ones(D.FEATURES, np.float32)
+    dense = np.stack([np.bincount(D.features(D.plain_words(t)), minlength=D.FEATURES) for t in texts]).astype(float)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    right = np.linalg.svd(dense, full_matrices=False)[2][:12]
+    items = [D.Item(0, D.plain_words(texts[0]), [])]
+    found = D.factorise(rows("text string", [(t,) for t in [*texts, "", None]]), "text", items, idf, len(texts))
+    assert np.linalg.norm(right @ found) ** 2 > 11.9  # of 12: each topic, though the one item has only its own
+
+
 def test_answer_of():
     assert D.answer_of("One two three. Four five.") == [b"four", b"five"]
     assert D.answer_of("a b c d e f") == [b"e", b"f"]
