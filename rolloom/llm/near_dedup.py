@@ -4,28 +4,22 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.llm.components import components
 from rolloom.llm.texts import Codes, byte_words, window_codes
-from rolloom.session import materialize, scratch_path
+from rolloom.session import materialize
 
 #: Words in a shingle, and least similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
-#: Two texts below FAR and above NEAR similarity to a third are split from it by both ways of ``split_keys``.
-NEAR, FAR = 0.5, 0.75
-#: Share of a text's shingles in a lead that it is not linked to from which it keeps its own sketches.
-CONTAINED = 0.5
-#: Leads outside a group's largest class in the first round, and how many times more each next round has.
-LEADS, GROWTH = 16, 4
 #: Least shingle hashes in a signature, and the share of them that two texts must have in common to be compared. Of two
-#: texts at similarity 0.8 the signatures share 0.8 +- 0.05 of 64, so half is missed with probability below 1e-7; shorter texts
-#: have all their hashes in it, where half is always reached.
+#: texts at similarity 0.8 the signatures share 0.8 +- 0.05 of 64, so half is missed with probability below 1e-7. Two shorter
+#: texts have all their hashes in it, which tells exactly how many they share.
 SIGNATURE, COMMON = 64, 0.5
 #: Bytes of texts that a task remembers while it compares.
 REMEMBERED = 16_000_000
@@ -33,7 +27,7 @@ REMEMBERED = 16_000_000
 #: 0.8^3, so a pair is missed by all 16 with probability 1e-5.
 SKETCHES, MINIMA = 16, 3
 
-PAIRS = "lead long, node long, linked boolean, keys array<long>"
+PAIRS = "lead long, node long, linked boolean"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _SEEDS = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
@@ -162,38 +156,6 @@ def similarity(left: list[bytes], right: list[bytes], least: float = SIMILAR) ->
     return matched / (total - matched)
 
 
-def split_keys(lead: np.ndarray, other: np.ndarray, similar: float, alike: Callable[[], bool]) -> tuple[bool, list[int]]:
-    """Whether ``other`` is linked to the lead, from arrays of labelled shingles, and keys under which it meets its like.
-
-    ``alike`` is asked only where enough shingles are common. Take two texts alike to each other, at least one of
-    them not linked to the lead.
-    * If they share a shingle that the lead lacks and are NEAR it, every such shingle is a key. If they are far from
-      the lead, most of their shingles are not the lead's, and sketches of these alone bring them together. By the triangle
-      inequality a pair with one text below NEAR has both below FAR, so between the two both kinds of key are given.
-    * If all they share is the lead's (two excerpts of it, say), the lead holds ``similar`` of each. If neither is linked
-      to the lead, they meet under their own sketches again, which have brought them together before. If only one is, both lack
-      more of the lead's shingles than the linked one has shingles that the lead lacks. So the linked one
-      is shorter than the lead and may leave out that many of its missing shingles: the others are keys, as are all
-      that the unlinked one misses.
-    """
-    rest = other[~np.isin(other, lead)]
-    common = len(other) - len(rest)
-    close = common / max(1, len(lead) + len(rest))
-    linked = close >= similar - 1e-9 and alike()
-    keys = []
-    if close >= NEAR:
-        keys += rest.view(np.int64).tolist()
-    if close < FAR:
-        keys += order_keys(rest)
-    if not linked and common >= CONTAINED * len(other):
-        keys += order_keys(other)
-    if common >= similar * len(other) - 1e-9 and close >= 2 * similar - 1 - 1e-9:
-        lacks = lead[~np.isin(lead, other)]
-        lacks = lacks[: max(0, len(lead) - len(other))] if linked else lacks
-        keys += _mix(lacks ^ _B).view(np.int64).tolist()
-    return linked, keys
-
-
 def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``id``, ``digest`` (MD5 of the text), ``keys`` and ``shingles`` (their number); a null text has but the id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
@@ -212,53 +174,64 @@ def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """``node``, ``text`` and ``signature``: the SIGNATURE least hashes of the labelled shingles."""
+    """``node``, ``text``, ``shingles`` (their number) and ``signature``: 32 bits of each of the SIGNATURE least hashes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signatures = []
+            signatures, sizes = [], []
             for text in batch.column(1).to_pylist():
                 found = labelled_shingles(byte_words(text))
-                signatures.append((np.partition(found, SIGNATURE - 1)[:SIGNATURE] if len(found) > SIGNATURE else found).view(np.int64))
-            signed = pa.array(signatures, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], names=["node", "text", "signature"])
+                least = np.partition(found, SIGNATURE - 1)[:SIGNATURE] if len(found) > SIGNATURE else found
+                signatures.append(least.astype(np.uint32).view(np.int32))
+                sizes.append(len(found))
+            made = [pa.array(sizes, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["node", "text", "shingles", "signature"])
+
+    return texts.mapInArrow(run, "node long, text string, shingles long, signature array<int>")
 
-    return texts.mapInArrow(run, "node long, text string, signature array<long>")
 
+def _overlap(left: Column, right: Column, similar: float) -> Column:
+    """How many shingles two texts of so many shingles have in common at least if their similarity is ``similar``."""
+    return F.ceil((left + right) * (similar / (1 + similar)) - 1e-6)
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs ``lead`` and ``node`` whose numbers of shingles and signatures allow that they are similar."""
+    signs = texts.select("node", "shingles", "signature")
+    pairs = pairs.join(signs.toDF("lead", "shingles_a", "one"), "lead").join(signs.toDF("node", "shingles_b", "two"), "node")
+    near = F.least("shingles_a", "shingles_b") >= similar * F.greatest("shingles_a", "shingles_b") - 1e-6
+    common = F.size(F.array_intersect("one", "two"))
+    whole = F.greatest("shingles_a", "shingles_b") <= SIGNATURE
+    enough = F.when(whole, _overlap(F.col("shingles_a"), F.col("shingles_b"), similar))
+    enough = enough.otherwise(COMMON * F.least(F.size("one"), F.size("two")))
+    return pairs.where(near & (common >= enough)).select("lead", "node")
 
-def _compare(pairs: DataFrame, texts: DataFrame, similar: float, split: bool) -> DataFrame:
-    """``lead``, ``node``, whether they are ``linked``, and with ``split`` the ``keys`` of ``split_keys`` for the node.
+
+def _compare(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """``lead``, ``node`` and whether they are ``linked``, for the plausible ones of pairs.
 
     The pairs are stored first: their size is then known, and few pairs go to the texts instead of all texts to them.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_plausible(materialize(pairs, "met"), texts, similar), "pairs")
     left = texts.select(F.col("node").alias("lead"), F.col("text").alias("left"))
     right = texts.select("node", F.col("text").alias("right"))
     joined = pairs.join(left, "lead").join(right, "node").select("lead", "node", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        known: dict[str, list[bytes]] = {}
         held = 0
         for batch in batches:
-            linked, keys = [], []
+            linked = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if held > REMEMBERED:
                     known.clear()
                     held = 0
                 for t in (one, two):
                     if t not in known:
-                        words = byte_words(t)
-                        known[t] = words, labelled_shingles(words) if split else None
+                        known[t] = byte_words(t)
                         held += len(t)
-                (words, lead), (others, other) = known[one], known[two]
-                alike = lambda: similarity(words, others, similar) >= similar  # noqa: B023, E731
-                same, rest = split_keys(lead, other, similar, alike) if split else (alike(), [])
-                linked.append(same)
-                keys.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["lead", "node", "linked", "keys"],
-            )
+                linked.append(similarity(known[one], known[two], similar) >= similar)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["lead", "node", "linked"])
 
     return joined.mapInArrow(run, PAIRS)
 
@@ -272,6 +245,7 @@ def _merge(graph: DataFrame | None, linked: DataFrame) -> DataFrame | None:
 
     Only the pairs across components are looked at, as edges between components.
     """
+    linked = linked.where("linked")
     if graph is None:
         new = linked.select("lead", "node", F.col("lead").alias("a"), F.col("node").alias("b"))
         graph = new.select("node", F.col("node").alias("component")).limit(0)
@@ -289,93 +263,91 @@ def _merge(graph: DataFrame | None, linked: DataFrame) -> DataFrame | None:
     return materialize(joined.select("node", F.coalesce("into", "component").alias("component")), "graph")
 
 
-class _Rounds:
-    """A table in the shared folder that each round adds its rows to."""
+def _componented(rows: DataFrame, graph: DataFrame | None) -> DataFrame:
+    """``rows`` with the component ``comp`` of each ``node``; one without a link is its own."""
+    if graph is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(_named(graph, "node"), "node", "left").withColumn("comp", F.coalesce("node_comp", "node")).drop("node_comp")
 
-    def __init__(self, spark: SparkSession, label: str, schema: str):
-        self.spark, self.folder, self.schema, self.last = spark, scratch_path(spark, label), schema, -1
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Stores the rows of one more round and returns them."""
-        self.last += 1
-        path = f"{self.folder}/round={self.last}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+def _divided(rows: DataFrame) -> DataFrame:
+    """``key`` of groups with nodes of several components, and ``major``, the component of most of them."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+    parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("most"))
+    return parts.where("parts > 1").select("key", F.col("most")["comp"].alias("major"))
 
-    def rows(self) -> DataFrame:
-        """All rows so far, with their ``round``."""
-        if self.last < 0:
-            return self.spark.createDataFrame([], f"{self.schema}, round int")
-        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.folder)
 
+def _rare(texts: DataFrame, similar: float) -> DataFrame:
+    """``key``, ``node``, ``shingles``, ``place`` and ``first``: the rarest shingles of each text, as keys under which similar ones meet.
 
-def _crossing(rows: DataFrame, met: _Rounds, texts: DataFrame, similar: float, leads: int) -> DataFrame:
-    """``lead`` and ``node``: the pairs of different components between a group's leads and all of the group.
+    All shingles are ranked by the number of texts that have them, rarest first, ties by value; ``place`` is a shingle's rank in
+    its text, from 1. Texts of n <= m shingles that are ``similar`` have o = (n + m) similar / (1 + similar) or more in common,
+    so the first of these is at place n - o + 1 or before in the one, m - o + 1 or before in the other: in any text
+    among the first 1 - similar of its places, and in the one with fewer shingles among even fewer (``first``). Shingles of
+    one text alone take places but are no keys, and a text with too many of them has no keys.
+    """
 
-    Leads are the heaviest ``leads`` of its nodes outside its largest component. Left out are pairs met before, pairs whose
-    numbers of shingles are further apart than ``similar``, and pairs whose signatures have too little in common.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labelled_shingles(byte_words(t)) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(f) for f in found], np.int64)
+            at = pa.array(np.repeat(np.arange(len(found)), sizes))
+            made = [batch.column(0).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(made, names=["node", "shingles", "key"])
+
+    every = materialize(texts.select("node", "text").mapInArrow(run, "node long, shingles long, key long"), "shingles")
+    spread = every.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    ranked = every.join(spread, "key").groupBy("node", "shingles").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("shared"))
+    reach = lambda share: F.col("shingles") - F.ceil(F.col("shingles") * share - 1e-6) + 1
+    alone = F.col("shingles") - F.size("shared")
+    ranked = ranked.withColumn("alone", alone).withColumn("first", reach(2 * similar / (1 + similar)))
+    ranked = ranked.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), reach(similar) - F.col("alone")).cast("int")))
+    keys = ranked.select("node", "shingles", "alone", "first", F.posexplode("shared").alias("at", "one"))
+    return keys.select(F.col("one")["key"].alias("key"), "node", "shingles", (F.col("alone") + F.col("at") + 1).alias("place"), "first")
+
+
+def _crossing(rows: DataFrame, similar: float) -> DataFrame:
+    """``lead`` and ``node``: the pairs of different components that rows of ``_rare`` with their ``comp`` leave possible.
+
+    In each group, the nodes outside its largest component meet all others. Left out are pairs whose numbers of shingles are further
+    apart than ``similar``, and those that have too few shingles left after the places of the one they meet under.
     """
-    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    heads = rows.where("comp <> major").withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads)
-    columns = ["key", "comp", "node", "shingles"]
-    one, two = heads.select(*(F.col(c).alias(f"{c}_a") for c in columns)), rows.select(*(F.col(c).alias(f"{c}_b") for c in columns))
+    rows = rows.join(_divided(rows), "key")
+    columns = ["node", "shingles", "place", "first", "comp"]
+    one = rows.where("comp <> major").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in columns))
     near = F.least("shingles_a", "shingles_b") >= similar * F.greatest("shingles_a", "shingles_b") - 1e-6
-    pairs = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
-    pairs = pairs.select(F.greatest("node_a", "node_b").alias("lead"), F.least("node_a", "node_b").alias("node")).distinct()
-    pairs = pairs.join(met.rows().select("lead", "node"), ["lead", "node"], "left_anti")
-    signs = texts.select("node", "signature")
-    pairs = pairs.join(signs.toDF("lead", "one"), "lead").join(signs.toDF("node", "two"), "node")
-    common = F.size(F.array_intersect("one", "two"))
-    return pairs.where(common >= COMMON * F.least(F.size("one"), F.size("two"))).select("lead", "node")
+    fewer = F.struct("shingles_a", "node_a") < F.struct("shingles_b", "node_b")
+    soon = F.when(fewer, F.col("place_a") <= F.col("first_a")).otherwise(F.col("place_b") <= F.col("first_b"))
+    left = 1 + F.least(F.col("shingles_a") - F.col("place_a"), F.col("shingles_b") - F.col("place_b"))
+    enough = left >= _overlap(F.col("shingles_a"), F.col("shingles_b"), similar)
+    met = one.join(two, "key").where((F.col("comp_a") != F.col("comp_b")) & near & soon & enough)
+    return met.select(F.greatest("node_a", "node_b").alias("lead"), F.least("node_a", "node_b").alias("node")).distinct()
 
 
 def _links(groups: DataFrame, weights: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
     """``component`` of each ``node`` that is linked to another, from rows (key, node) of groups."""
-    spark = groups.sparkSession
-    graph, leads = None, LEADS
-    told = _Rounds(spark, "told", PAIRS)
-    met = _Rounds(spark, "met", PAIRS)
-    emitted = _Rounds(spark, "emitted", "lead long, node long")
-    while not groups.isEmpty():
-        weighed = groups.join(weights, "node")
-        heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("head"), F.count("*").alias("size"))
-        heads = heads.where("size > 1").select("key", F.col("head")["node"].alias("lead"))
-        led = materialize(groups.join(heads, "key").where("node <> lead"), "led")
-        pairs = led.select("lead", "node").distinct()
-        if told.last >= 0:
-            pairs = pairs.join(told.rows().select("lead", "node"), ["lead", "node"], "left_anti")
-        compared = told.add(_compare(pairs, texts, similar, True))
-        merged = _merge(graph, compared.where("linked"))
-        graph = graph if merged is None else merged
-        if graph is None:
-            graph = compared.select("node", F.col("node").alias("component")).limit(0)
-
-        named = groups.join(weights, "node").join(_named(graph, "node"), "node", "left")
-        named = named.withColumn("comp", F.coalesce("node_comp", "node")).drop("node_comp")
-        parts = named.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-        sizes = parts.agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
-        sizes = sizes.select("key", F.col("most")["comp"].alias("major"), (F.col("n") - F.col("most")["n"]).alias("outside"))
-        rows = materialize(named.join(sizes.where("outside > 0"), "key"), "crossing")
-        across = met.add(_compare(_crossing(rows, met, texts, similar, leads), texts, similar, False))
-        merged = _merge(graph, across.where("linked"))
-        graph = graph if merged is None else merged
-
-        large = rows.where(F.col("outside") > leads).select("key").distinct()
-        leads *= GROWTH
-        known = emitted.rows()
-        fresh = led.join(large, "key", "left_semi").select("lead", "node").distinct()
-        fresh = emitted.add(fresh.join(known.select("lead", "node"), ["lead", "node"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        # a key counts among the nodes of one lead, and again only when it has got a new node
-        before = emitted.rows().select("lead", "node", (F.col("round") == emitted.last).alias("fresh"))
-        keyed = told.rows().join(before, ["lead", "node"]).select("lead", "node", "fresh", F.explode("keys").alias("key"))
-        keyed = keyed.select("node", "fresh", F.xxhash64("lead", "key").alias("key")).distinct()
-        now = keyed.join(_named(graph, "node"), "node", "left").withColumn("comp", F.coalesce("node_comp", "node"))
-        several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("fresh").alias("new"))
-        several = several.where("low < high AND new").select("key")
-        groups = materialize(keyed.join(several, "key").select("key", "node"), "groups")
-    return graph
+    heads = groups.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("head"))
+    heads = heads.select("key", F.col("head")["node"].alias("lead"))
+    led = groups.join(heads, "key").where("node <> lead").select("lead", "node").distinct()
+    graph = _merge(None, materialize(_compare(led, texts, similar), "led"))
+
+    named = materialize(_componented(groups, graph), "named")
+    divided = materialize(named.join(_divided(named), "key", "left_semi").select("node").distinct(), "divided")
+    if divided.isEmpty():
+        return graph
+    rare = materialize(_rare(texts.join(divided, "node", "left_semi"), similar), "rare")
+    rows = materialize(_componented(rare, graph), "meeting")
+    # the heaviest of each group first, so that most of a large class is one component before the rest meets
+    heads = rows.join(_divided(rows), "key").join(weights.select("node", "weight"), "node")
+    heads = heads.groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("head"))
+    heads = heads.select("key", F.col("head")["node"].alias("lead"), F.col("head")["comp"].alias("led"))
+    led = rows.join(heads, "key").where("comp <> led").select("lead", "node").distinct()
+    merged = _merge(graph, materialize(_compare(led, texts, similar), "led"))
+    graph = graph if merged is None else merged
+    across = _crossing(materialize(_componented(rare, graph), "meeting"), similar).join(led, ["lead", "node"], "left_anti")
+    merged = _merge(graph, materialize(_compare(across, texts, similar), "across"))
+    return graph if merged is None else merged
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SIMILAR) -> DataFrame:
@@ -390,10 +362,9 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similar: float = SI
     Equal texts are reduced to one node inside tasks before the shuffle, so thousands of copies cost
     as much as one. Nodes that share a sketch key form a group. Each is compared, over the whole texts, with one lead
     of its group: the node whose keys are most common, which in a large group of
-    copies is the text that the others were made from. Then the heaviest LEADS nodes outside the group's largest class are
-    compared with those of the group in other classes. A group with more nodes outside is grouped anew by what sets its nodes
-    apart from the lead (see ``split_keys``), and the next round has GROWTH times the leads. So a round
-    costs a bounded number of comparisons per text, rounds are few, and links among texts that the lead is not alike to are found as well.
+    copies is the text that the others were made from. In groups that then still have several classes, nodes meet under their
+    rarest shingles (see ``_rare``), which loses no pair: texts that share but a passage, however many, have rarer
+    shingles besides and do not meet. So what is compared follows the texts and not the pairs in a group.
     """
     rows = materialize(sketch_rows(docs, doc_id, text), "sketches")
     grouped = (

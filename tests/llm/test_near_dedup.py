@@ -171,3 +171,25 @@ def test_alignment_slides_over_long_texts():
         right = np.insert(np.delete(left, rng.integers(1, size - 1, 5)), rng.integers(1, size - 6, 8), 7)
         left[[0, -1]], right[[0, -1]] = (-1, -2), (-3, -4)  # no common ends
         assert N.aligned(left, right, band) == banded_by_hand(left.tolist(), right.tolist(), band)
+
+
+def test_comparisons_do_not_grow_with_the_square_of_a_group(rows, monkeypatch):
+    """Texts that share most of their words with each other, but too few to be similar, are hardly compared."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    data = [(i, " ".join([*base[: rng.randrange(84, 90)], *(f"x{i}y{j}" for j in range(16))])) for i in range(120)]
+    data += [(1000 + i, data[i][1].replace(f"x{i}y15", "end")) for i in range(0, 120, 7)]
+    met = []
+    compare = N._compare
+
+    def counted(*args):
+        out = compare(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_compare", counted)
+    by_hand = classes_by_hand(data)
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(rows("doc_id long, text string", data), "doc_id", "text").collect()}
+    assert got == {i: by_hand[(False, i, t)] for i, t in data}
+    assert len(set(got.values())) == 120
+    assert sum(met) <= 20 * len(data)
