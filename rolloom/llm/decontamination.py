@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolloom.session import scratch_path
+
 #: Buckets of hashed words and dimensions of the latent space; their product bounds all matrices.
 FEATURES, RANK = 1 << 15, 64
 #: Extra columns of the random start and passes of the power iteration.
@@ -55,24 +57,44 @@ class Item(NamedTuple):
     answer: list[bytes]
 
 
-def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """One stored row for each document with a word: ``at``, its features in ascending order (16 bits each), and ``times``,
+    how often each occurs (32 bits). Texts are split into words here once, for all sums over documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(features(words), return_counts=True) for words in map(plain_words, batch.column(0).to_pylist()) if words]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([side.astype(kind).tobytes() for side in sides], pa.binary())
+                 for sides, kind in (([at for at, _ in made], np.uint16), ([times for _, times in made], np.uint32))],
+                names=["at", "times"],
+            )
+
+    schema = "at binary, times binary"
+    store = scratch_path(docs.sparkSession, "word-counts")
+    counted = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(count, schema)
+    counted.write.option("compression", "zstd").parquet(store)
+    return docs.sparkSession.read.schema(schema).parquet(store)
+
+
+def document_frequencies(docs: DataFrame, text: str, counted: DataFrame | None = None) -> tuple[np.ndarray, int]:
     """In how many of all documents each feature occurs, and how many documents have a word.
 
-    Tasks sum what they read; FEATURES numbers come to the driver, whatever the input.
+    Tasks sum what they read of ``counted`` (the ``word_counts`` of ``docs``); FEATURES numbers come to the driver, whatever
+    the input.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = plain_words(t)
-                if words:
-                    total[np.unique(features(words))] += 1
-                    total[FEATURES] += 1
+            for found in batch.column(0).to_pylist():
+                total[np.frombuffer(found, np.uint16)] += 1
+            total[FEATURES] += batch.num_rows
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["feature", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = word_counts(docs, text) if counted is None else counted
+    rows = counted.select("at").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     table = rows.toArrow()
     out = np.zeros(FEATURES + 1, np.int64)
     out[table.column("feature").to_numpy()] = table.column("n").to_numpy()
@@ -84,19 +106,20 @@ def weigh(frequency: np.ndarray, documents: int) -> np.ndarray:
     return np.log((documents + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.01)
 
 
-def accumulate(found: np.ndarray, idf: np.ndarray, matrix: np.ndarray, out: np.ndarray) -> None:
-    """Add a'(a matrix) to ``out``, where a is the TF-IDF vector of the features of a text, scaled to length 1."""
-    at, tf = np.unique(found, return_counts=True)
-    row = tf * idf[at]
+def accumulate(at: np.ndarray, times: np.ndarray, idf: np.ndarray, matrix: np.ndarray, out: np.ndarray) -> None:
+    """Add a'(a matrix) to ``out``, where a is the TF-IDF vector, scaled to length 1, of a text that has features ``at`` so many ``times``."""
+    row = times * idf[at]
     row /= np.linalg.norm(row) or 1
-    out[at] += row[:, None] * (row @ matrix[at])[None, :]
+    sums = np.multiply.outer(row, row @ matrix.take(at, 0))
+    sums += out.take(at, 0)
+    out[at] = sums
 
 
 def product(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """A'(A matrix), where the rows of A are the vectors of texts."""
     out = np.zeros_like(matrix)
     for found in texts:
-        accumulate(found, idf, matrix, out)
+        accumulate(*np.unique(found, return_counts=True), idf, matrix, out)
     return out
 
 
@@ -104,18 +127,20 @@ def _sums(part: int, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
 
 
-def factorise(docs: DataFrame, text: str, items: list[Item], idf: np.ndarray, documents: int) -> np.ndarray:
+def factorise(
+    docs: DataFrame, text: str, items: list[Item], idf: np.ndarray, documents: int, counted: DataFrame | None = None
+) -> np.ndarray:
     """Right singular vectors (FEATURES x RANK) of the TF-IDF matrix of documents, by a randomised SVD.
 
     The rows are all ``documents`` that have words, each with all of them, and the items, which together weigh as much. A random
     start is multiplied PASSES times by A'A, a distributed product: one task per core sums its share of the documents, SUM_PARTS
     tasks add these sums, and the driver makes the columns orthonormal again. What is shuffled follows the cores, what the
-    driver gets is one matrix, whatever the input.
+    driver gets is one matrix, whatever the input. All passes read ``counted``, the ``word_counts`` of ``docs``.
     """
     random = np.random.default_rng(23)
     basis = random.standard_normal((FEATURES, RANK + OVERSAMPLE), np.float32)
     context = docs.sparkSession.sparkContext
-    whole = docs.select(text).where(F.col(text).isNotNull()).coalesce(context.defaultParallelism)
+    whole = (word_counts(docs, text) if counted is None else counted).coalesce(context.defaultParallelism)
     own = [features(i.words) for i in items if i.words]
     schema, high = "part int, sums binary", FEATURES // SUM_PARTS
 
@@ -126,10 +151,8 @@ def factorise(docs: DataFrame, text: str, items: list[Item], idf: np.ndarray, do
             weights, matrix = shared.value
             total = np.zeros_like(matrix)
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    words = plain_words(t)
-                    if words:
-                        accumulate(features(words), weights, matrix, total)
+                for at, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    accumulate(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(times, np.uint32), weights, matrix, total)
             for part in range(SUM_PARTS):
                 yield _sums(part, total[part * high : (part + 1) * high])
 
@@ -195,7 +218,10 @@ def candidates(words: list[bytes], index: Index) -> list[tuple[int, int, int, fl
     blocks = max(PASSAGE, len(found) + -len(found) % STRIDE) // STRIDE
     padded = np.full(blocks * STRIDE, FEATURES)  # the vector after the last feature is zero
     padded[: len(found)] = found
-    sums = index.vectors[padded].reshape(blocks, STRIDE, -1).sum(1)
+    padded = padded.reshape(blocks, STRIDE)
+    sums = index.vectors.take(padded[:, 0], 0)
+    for k in range(1, STRIDE):
+        sums += index.vectors.take(padded[:, k], 0)
     wide = PASSAGE // STRIDE
     passages = sums[: blocks - wide + 1].copy()
     for k in range(1, wide):
@@ -252,8 +278,9 @@ def contaminated(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     hold COPY of the item's words, or PARAPHRASE of them and ANSWER of the item's answer (its last sentence
     or third). Case and ASCII punctuation don't count.
 
-    The items are the stated query set: they are searched for in blocks of ITEM_BLOCK, each a pass over
-    the documents without a shuffle. A null or empty text has no leaks, an item without words is never found.
+    Texts are split into words twice: once for the stored ``word_counts``, which the frequencies and all passes of the
+    factorisation read, and once for the search. The items are the stated query set: they are searched for in blocks of ITEM_BLOCK,
+    each a pass over the documents without a shuffle. A null or empty text has no leaks, an item without words is never found.
     Repeated rows give repeated results. An empty table of documents or items gives an empty result. Only the
     named columns are read; ids must be integers.
     """
@@ -272,11 +299,12 @@ def contaminated(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     blocks += [block] if block else []
     if not blocks:
         return rows.sparkSession.createDataFrame([], schema)
-    frequency, documents = document_frequencies(rows, "text")
+    counted = word_counts(rows, "text")
+    frequency, documents = document_frequencies(rows, "text", counted)
     idf = weigh(frequency, documents)
     out = None
     for block in blocks:
-        singular = factorise(rows, "text", block, idf, documents)
+        singular = factorise(rows, "text", block, idf, documents, counted)
         shared = rows.sparkSession.sparkContext.broadcast(index_items(block, idf, singular))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -100,6 +100,34 @@ def test_factorisation_takes_all_documents(rows, monkeypatch):
     assert np.linalg.norm(right @ found) ** 2 > 11.9  # of 12: each topic, though the one item has only its own
 
 
+def test_texts_are_split_once_before_the_search(spark, rows, monkeypatch):
+    texts = ["one two three two", "four, five five", "", None, "?!", "one " * 70_000 + "six"]
+    df = rows("doc_id long, text string", list(enumerate(texts))).coalesce(1)
+    items = rows("item_id long, text string", [(0, "a phrase that no text has. At all.")])
+    seen, whole = spark.sparkContext.accumulator(0), D.plain_words
+
+    def counting(text):
+        seen.add(1)
+        return whole(text)
+
+    # tasks get this one by value in functions that live in others; the search itself, a function of the module, has its own
+    monkeypatch.setattr(D, "plain_words", counting)
+    assert D.contaminated(df, "doc_id", "text", items, "item_id", "text").collect() == []
+    assert seen.value == 5 + 5  # the texts that are not null, and the item on the driver: whole, its sentences and its answer
+
+
+def test_stored_counts_give_the_sums_of_the_texts(rows):
+    texts = ["one two three two", "four, five five", "", None, "?!", "one " * 70_000 + "six"]
+    df = rows("text string", [(t,) for t in texts])
+    split = [D.features(words) for words in map(D.plain_words, texts) if words]
+    expected = Counter(w for found in split for w in set(found.tolist()))
+    frequency, documents = D.document_frequencies(df, "text")
+    assert documents == 3 and Counter({int(w): int(frequency[w]) for w in np.flatnonzero(frequency)}) == expected
+    counts = [(np.frombuffer(r.at, np.uint16), np.frombuffer(r.times, np.uint32)) for r in D.word_counts(df, "text").collect()]
+    whole = Counter(tuple(zip(at.tolist(), times.tolist())) for at, times in counts)
+    assert whole == Counter(tuple(sorted(Counter(found.tolist()).items())) for found in split)
+
+
 def test_answer_of():
     assert D.answer_of("One two three. Four five.") == [b"four", b"five"]
     assert D.answer_of("a b c d e f") == [b"e", b"f"]
