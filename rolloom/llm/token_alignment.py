@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
+from rolloom.llm.texts import Codes
 from rolloom.session import materialize, scratch_path
 
 #: Bytes of text whose links share one table of pairs.
 BLOCK_BYTES = 4 << 20
 #: Segments that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 100_000, 100
-#: Segments encoded in one call.
-BATCH = 2000
+#: Segments encoded in one call, and how many of them behind each other in one text.
+BATCH, TOGETHER = 2000, 200
 #: How the second tokenizer writes a space.
 SPACE = "▁"
 
@@ -51,6 +52,10 @@ class Segment(NamedTuple):
     pairs: bytes
 
 
+#: Stands for a segment that its tokens don't spell.
+NOTHING = Segment(0, 0, 0, "", b"")
+
+
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 for itself, others from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -64,7 +69,8 @@ class Aligner:
     Neither tokenizer joins a space to a character before it that is not white space: A parts words there, and no
     piece of B holds a space behind another character (checked). So " " + text may be cut before each
     space between two such characters, and a segment has the tokens, groups and links that it has in
-    the whole. Segments recur, so their alignments are remembered.
+    the whole. For the same reason segments that neither begin nor end with white space are encoded many at a time, as one text.
+    Segments recur, so their alignments are remembered.
     """
 
     def __init__(self, files: Tokenizers):
@@ -90,32 +96,38 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
 
-    def spelled(self, segment: str, a: list[int], b: list[int]) -> bool:
-        """Whether both rows of tokens have the bytes of the segment behind a space."""
-        whole = (" " + segment).encode()
-        return whole == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
-
-    def link(self, segments: list[str], left: list[list[int]], right: list[list[int]]) -> list[Segment | None]:
-        """All segments at once, as if they stood behind each other; None where tokens don't spell their segment."""
-        whole = b"".join([b" " + s.encode() for s in segments])
-        a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (left, right))
-        if whole != b"".join([self.a_bytes[i] for i in a.tolist()]) or whole != b"".join([self.b_bytes[i] for i in b.tolist()]):
-            good = [k for k, s in enumerate(segments) if self.spelled(s, left[k], right[k])]
-            some = self.link(*([side[k] for k in good] for side in (segments, left, right))) if good else []
-            out: list[Segment | None] = [None] * len(segments)
-            for k, found in zip(good, some):
-                out[k] = found
-            return out
-        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        counts = [np.array([len(ids) for ids in side], np.int64) for side in (left, right)]
-        edges = ends_a[np.cumsum(counts[0]) - 1]
+    def spelled(self, segments: list[str], a: list[int], b: list[int]) -> list[int] | None:
+        """The bytes of each segment behind a space, if both rows of tokens have these bytes and end a token where a segment ends."""
+        whole = (" " + " ".join(segments)).encode()
+        if not whole == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]):
+            return None
+        sizes = [len(s) + 1 for s in segments] if whole.isascii() else [len(s.encode()) + 1 for s in segments]
+        for side, ids in ((self.a_sizes, a), (self.b_sizes, b)):
+            if len(segments) > 1 and not np.isin(np.cumsum(sizes), np.cumsum(side[ids])).all():
+                return None
+        return sizes
+
+    def spell(self, groups: list[list[str]]) -> list[tuple[list[int], list[int], list[int]] | None]:
+        """Sizes of segments and both rows of tokens, of each group encoded as one text; None where they don't spell its segments."""
+        texts = [" ".join(group) for group in groups]
+        left = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        made = [(e.ids, b) for e, b in zip(left, self.b.encode(texts, num_threads=1))]
+        sizes = [self.spelled(group, *ids) for group, ids in zip(groups, made)]
+        return [None if own is None else (own, *ids) for own, ids in zip(sizes, made)]
+
+    def link(self, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[Segment]:
+        """All segments (given by their bytes) at once, as they stand behind each other; ``a`` and ``b`` spell them and part where they do."""
+        ends_a, ends_b, edges = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
+        in_a, in_b, in_edges = np.zeros((3, int(edges[-1]) + 1), bool)
+        in_a[ends_a] = in_b[ends_b] = in_edges[edges] = True
+        counts = [np.diff(np.searchsorted(e, edges, "right"), prepend=0) for e in (ends_a, ends_b)]
         # each stretch between neighbouring ends of either side lies in one token of both: these are the links
-        every, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        every, common = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
         pairs = a[np.searchsorted(ends_a, every)] * len(self.b_bytes) + b[np.searchsorted(ends_b, every)]
         links, groups = (np.diff(np.searchsorted(e, edges, "right"), prepend=0) for e in (every, common))
         # ids in the order of the groups, A before B, each with the mark behind it
-        last_a, last_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
-        marked = np.concatenate([a + last_a * self.n_a, 2 * self.n_a + b + (last_b + 0 + np.isin(ends_b, edges)) * self.n_b])
+        last_a, last_b = in_b[ends_a], in_a[ends_b]
+        marked = np.concatenate([a + last_a * self.n_a, 2 * self.n_a + b + (last_b + 0 + in_edges[ends_b]) * self.n_b])
         place = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
         shown = "".join(map(self.shown.__getitem__, marked[np.argsort(place, kind="stable")].tolist())).split("\n")
         data, at = pairs.tobytes(), np.concatenate(([0], np.cumsum(links * 8))).tolist()
@@ -125,11 +137,21 @@ class Aligner:
         ]
 
     def encode(self, segments: list[str]) -> list[Segment | None]:
-        out = []
+        """Alignments of segments; None where tokens don't spell their segment."""
+        out: list[Segment | None] = [None] * len(segments)
         for at in range(0, len(segments), BATCH):
-            some = segments[at : at + BATCH]
-            left = self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)
-            out += self.link(some, [e.ids for e in left], self.b.encode(some, num_threads=1))
+            some = range(at, min(at + BATCH, len(segments)))
+            joined = [k for k in some if self.parts and not (segments[k][:1].isspace() or segments[k][-1:].isspace())]
+            groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[k] for k in sorted({*some} - {*joined})]
+            spelled = self.spell([[segments[k] for k in group] for group in groups])
+            # a group with a segment that its tokens don't spell is encoded segment by segment
+            alone = [[k] for group, ids in zip(groups, spelled) if ids is None and len(group) > 1 for k in group]
+            spelled += self.spell([[segments[k]] for k, in alone]) if alone else []
+            good = [(group, *ids) for group, ids in zip(groups + alone, spelled) if ids is not None]
+            if good:
+                order, *numbers = ([i for row in good for i in row[side]] for side in range(4))
+                for k, found in zip(order, self.link(*(np.array(n, np.int64) for n in numbers))):
+                    out[k] = found
         return out
 
     def learn(self, segments: list[str]) -> list[Segment | None]:
@@ -140,7 +162,7 @@ class Aligner:
         out = [known[s] if s in known else fresh[s] for s in segments]
         if len(known) > REMEMBERED:
             known.clear()
-        known.update((s, found) for s, found in fresh.items() if len(s) <= LONGEST)
+        known.update((s, found) for s, found in zip(segments, out) if len(s) <= LONGEST)
         return out
 
     def whole(self, text: str) -> Segment | None:
@@ -174,9 +196,9 @@ class _Block:
 
     def __init__(self, aligner: Aligner, texts: list[str], copies: list[int]):
         self.aligner, self.texts = aligner, texts
-        numbers: dict[str, int] = {}
-        cut = [[numbers.setdefault(s, len(numbers)) for s in aligner.cut(t)] for t in texts]
-        found = aligner.learn(list(numbers))
+        codes_of = Codes()
+        cut = [list(map(codes_of.__getitem__, aligner.cut(t))) for t in texts]
+        found = aligner.learn(list(codes_of))
         lost = {at for at, segment in enumerate(found) if segment is None}
         for at, codes in enumerate(cut):
             if lost and not lost.isdisjoint(codes):  # some bytes differ: judge the text as a whole
@@ -184,19 +206,20 @@ class _Block:
                 cut[at] = [] if whole is None else [len(found)]
                 found += [] if whole is None else [whole]
         self.segments, self.cut = found, cut
-        number = lambda name: np.array([0 if s is None else getattr(s, name) for s in found], np.int64)
-        links = np.array([0 if s is None else len(s.pairs) // 8 for s in found], np.int64)
-        flat = np.frombuffer(b"".join([s.pairs for s in found if s is not None]), np.int64)
+        *numbers, _, pairs = zip(*(NOTHING if s is None else s for s in found), NOTHING)
+        numbers, links = [np.array(n[:-1], np.int64) for n in numbers], np.array([len(p) // 8 for p in pairs[:-1]], np.int64)
+        flat = np.frombuffer(b"".join(pairs), np.int64)
         self.pairs, numbered = np.unique(flat, return_inverse=True)
         begins = np.cumsum(links) - links
         sizes = np.array([len(c) for c in cut], np.int64)
         text = np.repeat(np.arange(len(cut)), sizes)
         code = np.fromiter((c for codes in cut for c in codes), np.int64, int(sizes.sum()))
-        self.counts = [self._sums(text, values[code]) for values in (number("n_a"), number("n_b"), number("n_groups"), links)]
+        self.counts = [self._sums(text, values[code]) for values in (*numbers, links)]
         distinct, times = np.unique(text * max(len(found), 1) + code, return_counts=True)
         text, code = np.divmod(distinct, max(len(found), 1))
         held = np.repeat(text, links[code]) * max(len(self.pairs), 1) + numbered[_spread(begins[code], links[code])]
-        owner, pair = np.divmod(np.unique(held), max(len(self.pairs), 1))
+        held.sort()
+        owner, pair = np.divmod(held[np.diff(held, prepend=-1) > 0], max(len(self.pairs), 1))
         self.documents = np.bincount(pair, np.array(copies, np.float64)[owner], len(self.pairs)).astype(np.int64)
         per_text = np.bincount(text, minlength=len(cut))
         # codes ascend within a text: their steps pack better

@@ -152,3 +152,36 @@ WHOLE = Whole()
 def test_text_is_cut_where_tokens_part(aligner):
     assert aligner.parts
     assert aligner.cut("one two  three \n four ") == ["one", "two  three \n four "]
+
+
+def test_segments_are_encoded_together(aligner):
+    calls = {"a": [], "b": []}
+
+    class Counting:
+        def __init__(self, side, whole):
+            self.side, self.whole = side, whole
+
+        def encode_batch_fast(self, texts, **options):
+            calls[self.side] += texts
+            return self.whole.encode_batch_fast(texts, **options)
+
+        def encode(self, texts, **options):
+            calls[self.side] += texts
+            return self.whole.encode(texts, **options)
+
+    segments = [f"word{i}, no{i * i}ne" for i in range(3000)]
+    expected = [aligner.whole(s) for s in segments]
+    assert None not in expected
+    fresh = Aligner(ALIGNED)
+    fresh.a, fresh.b = Counting("a", fresh.a), Counting("b", fresh.b)
+    assert fresh.learn(segments) == expected
+    assert len(calls["a"]) <= 30 and len(calls["b"]) <= 30
+
+
+def test_odd_segments_among_others(aligner):
+    odd = ["a▁b", " x", "x ", "\n", "a\tb", "é", "e\u0301", "\x85q", "q\u3000", "<s>", "日本", "😀", "\x00", "ﬁ", "x  y"]
+    segments = [w for i, s in enumerate(odd) for w in (f"plain{i}", s, f"more{i}")]
+    alone = [aligner.whole(s) for s in segments]
+    assert aligner.whole("a▁b") is None and aligner.encode(segments) == alone
+    assert aligner.encode(segments[::-1]) == alone[::-1]
+    assert aligner.encode(["a▁b"]) == [None] and aligner.encode([]) == []
